@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op9_packing
 from .sharding import op6_sharding
 
-QUERIES = {"op6_sharding": op6_sharding}
+QUERIES = {"op6_sharding": op6_sharding, "op9_packing": op9_packing}
 ORACLES: dict[str, str] = {}
