@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from .mixing import OP10_SQL, op10_mixing
 from .packing import op9_packing
+from .secrets import op1_secret_scan
 from .sharding import op6_sharding
+from .urls import OP7_SQL, op7_url_filters
 
-QUERIES = {"op6_sharding": op6_sharding, "op9_packing": op9_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op6_sharding": op6_sharding,
+    "op7_url_filters": op7_url_filters,
+    "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
+}
+ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL}
