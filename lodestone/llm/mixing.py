@@ -109,7 +109,7 @@ def weigh(docs: DataFrame, entropy: float | None = None, most_repeats: float = M
 def mix(docs: DataFrame, entropy: float | None = None, most_repeats: float = MOST_REPEATS, budget: int | None = None, seed: str = SEED) -> DataFrame:
     """docs with each row repeated as its source's weight asks, and mix_epoch, mix_weight, mix_key added.
 
-    mix_epoch counts a row's repeats from 0; sorting by mix_key (0 to 1) interleaves the sources at their weights. Rows with
+    mix_epoch counts a row's repeats from 0; sorting by mix_key (0 to about 1) interleaves the sources at their weights. Rows with
     the same doc_id and source are taken or left together in the last block. A null source is a source of its own, a null or
     empty text has one token. Columns of docs named like the added ones are replaced; an empty table gives an empty result.
     """

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_mixing
 from .packing import op9_packing
+from .quality import op2_quality
 from .secrets import op1_secret_scan
 from .sharding import op6_sharding
 from .urls import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality": op2_quality,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
     "op9_packing": op9_packing,

@@ -85,26 +85,32 @@ def scan(docs: DataFrame) -> DataFrame:
     Positions count code points, ends are exclusive. A null or empty text has empty arrays. Rows are judged one by one:
     repeated rows stay, an empty table stays empty, and columns of these two names are replaced.
     """
-    kept = docs.drop("secret_base", "secret_spans")
+    return _scan(docs, "secret_base", "secret_spans")
+
+
+def _scan(docs: DataFrame, base_as: str, spans_as: str) -> DataFrame:
+    kept = docs.drop(base_as, spans_as)
     narrow = kept.withColumn("__original", F.col("text")).withColumn("text", text_of())
     base = F.array_sort(F.concat(*[_kind_spans(*p) for p in PATTERNS]))
     entropy = F.concat(*[_entropy_spans(*c) for c in CLASSES])
-    narrow = narrow.withColumn("secret_base", base).withColumn("__entropy", entropy)
-    extra = F.expr("filter(__entropy, x -> NOT exists(secret_base, b -> b.start <= x.start AND x.end <= b.end))")
-    narrow = narrow.withColumn("secret_spans", F.array_sort(F.concat("secret_base", extra)))
-    return narrow.withColumn("text", F.col("__original")).drop("__original", "__entropy").select(*kept.columns, "secret_base", "secret_spans")
+    narrow = narrow.withColumn("__base", base).withColumn("__entropy", entropy)
+    extra = F.expr("filter(__entropy, x -> NOT exists(__base, b -> b.start <= x.start AND x.end <= b.end))")
+    narrow = narrow.withColumn("__spans", F.array_sort(F.concat("__base", extra)))
+    names = {c: F.col("__original").alias(c) if c == "text" else F.col(c) for c in kept.columns}
+    return narrow.select(*names.values(), F.col("__base").alias(base_as), F.col("__spans").alias(spans_as))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each secret's span in text replaced by MASK (overlapping spans by one); n_chars, where present, follows."""
-    found = scan(docs).withColumn("__t", text_of())
-    text = """aggregate(secret_spans, named_struct('at', 0, 'out', cast(array() AS array<string>)), (acc, x) -> named_struct(
+    found = _scan(docs, "__found_base", "__found").withColumn("__t", text_of())
+    text = f"""aggregate(__found, named_struct('at', 0, 'out', cast(array() AS array<string>)), (acc, x) -> named_struct(
         'at', greatest(acc.at, x.end),
-        'out', if(x.start >= acc.at, array_append(array_append(acc.out, substring(__t, acc.at + 1, x.start - acc.at)), '%s'), acc.out)),
-        acc -> concat(array_join(acc.out, ''), substring(__t, acc.at + 1)))""" % MASK
-    found = found.withColumn("text", F.when(F.size("secret_spans") > 0, F.expr(text)).otherwise(F.col("text")))
+        'out', if(x.start >= acc.at, array_append(array_append(acc.out, substring(__t, acc.at + 1, x.start - acc.at)), '{MASK}'), acc.out)),
+        acc -> concat(array_join(acc.out, ''), substring(__t, acc.at + 1)))"""
+    hit = F.size("__found") > 0
+    found = found.withColumn("text", F.when(hit, F.expr(text)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 
