@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import OP10_SQL, op10_mixing
+from .neardup import op8_minhash
 from .packing import op9_packing
 from .quality import op2_quality
 from .secrets import op1_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
+    "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
