@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embeddings import OP5_SQL, op5_embeddings
 from .mixing import OP10_SQL, op10_mixing
 from .neardup import op8_minhash
 from .packing import op9_packing
@@ -13,10 +14,11 @@ from .urls import OP7_SQL, op7_url_filters
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
+    "op5_embeddings": op5_embeddings,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_embeddings": OP5_SQL, "op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL}
