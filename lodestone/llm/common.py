@@ -32,6 +32,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffle files of dead plans."""
+    import gc
+
+    spark = tables[0].sparkSession
+    for table in tables:
+        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/lodestone/" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_of(col: str = "text"):
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -9,11 +9,13 @@ from .packing import op9_packing
 from .quality import op2_quality
 from .secrets import op1_secret_scan
 from .sharding import op6_sharding
+from .suffixes import op3_suffix_dedup
 from .urls import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_embeddings": op5_embeddings,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
