@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embeddings import OP5_SQL, op5_embeddings
+from .media import op4_media
 from .mixing import OP10_SQL, op10_mixing
 from .neardup import op8_minhash
 from .packing import op9_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_media": op4_media,
     "op5_embeddings": op5_embeddings,
     "op6_sharding": op6_sharding,
     "op7_url_filters": op7_url_filters,
