@@ -26,7 +26,7 @@ BOUND = 0.9
 SUBSPACES = 4
 SEED = 20
 #: Residents a pivot, bounds on pivots of a block, and rows of a part.
-PER_PIVOT, MOST_PIVOTS, PART = 8192, 512, 2048
+PER_PIVOT, MOST_PIVOTS, PART = 16_384, 512, 16_384
 #: Added to squared radii and taken from the cosine bound for candidates: far above rounding, far below anything that counts.
 SLACK = 1e-5
 
@@ -44,7 +44,8 @@ def cuts(dim: int, subspaces: int = SUBSPACES) -> list[tuple[int, int]]:
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = np.asarray(column.flatten(), dtype=np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    return x / np.abs(x).max(axis=1, keepdims=True) if len(column) else x  # no overflow of squares
 
 
 def _deal(dim: int, pivots: list[np.ndarray], parts: np.ndarray, bound: float):
@@ -150,11 +151,11 @@ def near_vectors(vectors: DataFrame, bound: float = BOUND, subspaces: int = SUBS
     with nothing, nor are vectors of different lengths. Repeated rows are linked with each other and stay; other columns are
     not read; an empty table gives an empty result.
     """
-    v = F.col("embedding").cast("array<double>")
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     good = F.expr("size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)")
     rows = vectors.select("vec_id", v.alias("v")).withColumn("ok", F.coalesce(good, F.lit(False)))
-    scaled = F.expr("transform(v, x -> x / array_max(transform(v, y -> abs(y))))")  # no overflow of squares
-    rows = rows.withColumn("v", F.when(F.col("ok"), scaled)).withColumn("cls", F.when(F.col("ok"), F.xxhash64("v")))
+    scaled = F.expr("transform(v, x -> cast(x AS double) / array_max(transform(v, y -> abs(cast(y AS double)))))")
+    rows = rows.withColumn("cls", F.when(F.col("ok"), F.xxhash64(scaled)))
     rows = settle(rows.withColumn("dim", F.size("v")), "vectors")
     classes = settle(rows.where("ok").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.first("dim").alias("dim")), "vector-classes")
     counts, links = None, None
@@ -185,7 +186,7 @@ def _compare(classes: DataFrame, dim: int, n: int, bound: float, subspaces: int)
     pivots = [sample[:, a:b] for a, b in ranges]
     ones = [np.ones(n_pivots, dtype=np.int64) for _ in ranges]
     narrow = classes.select("cls", "v", "size")
-    schema = "block int, cell int, low int, high int, cls long, size long, part int, resident boolean, v array<double>"
+    schema = "block int, cell int, low int, high int, cls long, size long, part int, resident boolean, v " + dict(classes.dtypes)["v"]
     held = narrow.mapInArrow(_deal(dim, pivots, ones, bound), schema).groupBy("block", "cell").count().collect()  # blocks * pivots rows at most
     parts = [np.ones(n_pivots, dtype=np.int64) for _ in ranges]
     for r in held:
