@@ -98,27 +98,32 @@ def _join(dim: int, subspaces: int, bound: float):
             raw = _matrix(group.column(8))
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
             y = unit @ turn
-            left = np.flatnonzero(part == low)
-            right = left if low == high else np.flatnonzero(part == high)
             links, edges = np.zeros(len(cls), dtype=np.int64), []
             a, b = ranges[k]
-            squares = (y[:, a:b] ** 2).sum(1)
-            for s in range(0, len(left), 512):
-                rows = left[s : s + 512]
-                near = squares[rows][:, None] + squares[right][None] - 2 * y[rows, a:b] @ y[right, a:b].T <= limits[k]
-                i, j = np.nonzero(near)
-                i, j = rows[i], right[j]
-                stays = (resident[i] | resident[j]) & (i != j) & ((i < j) if low == high else True)
-                i, j = i[stays], j[stays]
-                for c in range(k):  # found by an earlier block: counted there
-                    a2, b2 = ranges[c]
-                    first = ((y[i, a2:b2] - y[j, a2:b2]) ** 2).sum(1) <= limits[c]
-                    i, j = i[~first], j[~first]
-                cosine = np.einsum("nd,nd->n", raw[i], raw[j]) / (np.linalg.norm(raw[i], axis=1) * np.linalg.norm(raw[j], axis=1))
-                i, j = i[cosine >= bound], j[cosine >= bound]
-                np.add.at(links, i, size[j])
-                np.add.at(links, j, size[i])
-                edges.append((i, j))
+            half = ((y[:, a:b] ** 2).sum(1) / -2)[:, None]
+            ones = np.ones_like(half)
+            # minus half the squared distance as one product, in single precision: its error is far below SLACK
+            rows_of, columns_of = (np.concatenate([y[:, a:b], *x], axis=1).astype(np.float32) for x in ((half, ones), (ones, half)))
+            left, right = part == low, part == high
+            for rows, columns in ((left & resident, right), (left & ~resident, right & resident)):  # not visitors with visitors
+                columns, ids = np.flatnonzero(columns), np.flatnonzero(rows)
+                against = np.ascontiguousarray(columns_of[columns].T)
+                for s in range(0, len(ids), 256):
+                    part_ids = ids[s : s + 256]
+                    i, j = np.divmod(np.flatnonzero((rows_of[part_ids] @ against).ravel() >= -limits[k] / 2), max(len(columns), 1))
+                    i, j = part_ids[i], columns[j]
+                    if low == high:  # two residents meet twice, a resident and a visitor in the first turn too
+                        once = resident[i] & (~resident[j] | (i < j))
+                        i, j = i[once], j[once]
+                    for c in range(k):  # found by an earlier block: counted there
+                        a2, b2 = ranges[c]
+                        first = ((y[i, a2:b2] - y[j, a2:b2]) ** 2).sum(1) <= limits[c]
+                        i, j = i[~first], j[~first]
+                    cosine = np.einsum("nd,nd->n", raw[i], raw[j]) / (np.linalg.norm(raw[i], axis=1) * np.linalg.norm(raw[j], axis=1))
+                    i, j = i[cosine >= bound], j[cosine >= bound]
+                    np.add.at(links, i, size[j])
+                    np.add.at(links, j, size[i])
+                    edges.append((i, j))
             out_a, out_b = _forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]), len(cls)) if edges else (np.zeros(0, int),) * 2
             held = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
@@ -154,8 +159,8 @@ def near_vectors(vectors: DataFrame, bound: float = BOUND, subspaces: int = SUBS
     v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     good = F.expr("size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)")
     rows = vectors.select("vec_id", v.alias("v")).withColumn("ok", F.coalesce(good, F.lit(False)))
-    scaled = F.expr("transform(v, x -> cast(x AS double) / array_max(transform(v, y -> abs(cast(y AS double)))))")
-    rows = rows.withColumn("cls", F.when(F.col("ok"), F.xxhash64(scaled)))
+    rows = rows.withColumn("most", F.when(F.col("ok"), F.expr("array_max(transform(v, y -> abs(cast(y AS double))))")))
+    rows = rows.withColumn("cls", F.when(F.col("ok"), F.xxhash64(F.expr("transform(v, x -> cast(x AS double) / most)")))).drop("most")
     rows = settle(rows.withColumn("dim", F.size("v")), "vectors")
     classes = settle(rows.where("ok").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.first("dim").alias("dim")), "vector-classes")
     counts, links = None, None
