@@ -5,10 +5,11 @@ Signatures of `BANDS * ROWS` minima are cut into bands; classes with an equal ba
 batch by batch of their signatures: a pair is dropped once the posterior probability that its similarity reaches the bound
 (uniform prior, so a binomial tail) is below `MISS`. Every pair that is left is verified on the full sets.
 
-Buckets are never expanded into all pairs at once. Star rounds compare each bucket's pivot with its other members, a pivot by
-another hash each round, and merge what verifies. Buckets that still hold members of several components then go through
-blocks of bounded size in which all pairs across components are compared in place: one round emits a forest of the likely
-links, the last one every likely link left, so that no link that the bands and the posterior let through is lost.
+Buckets are never expanded into all pairs at once. Star rounds compare each member with one of its buckets' pivots, which
+another hash chooses each round, and merge what verifies. Buckets that still hold members of several components then go through
+blocks of bounded size. In a block the pairs across components are pruned in place, members with a likely partner are sent
+again with their sets, and their pairs are verified in place: what is written is a forest of links, never the pairs, and no
+link that the bands and the posterior let through is lost to the components.
 """
 
 from __future__ import annotations
@@ -166,37 +167,64 @@ def _groups(batches, keys: int):
         yield rest
 
 
-def _across(bound: int, forest: bool):
-    """Likely pairs across labels in each block; with forest only pairs that join parts not joined by earlier ones."""
+def _others(i: int, part: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Rows that row i of a block still has to meet: later ones of its part, or the other part's."""
+    if low == high:
+        return np.arange(i + 1, len(part))
+    return np.flatnonzero(part != low) if part[i] == low else np.zeros(0, np.int64)
+
+
+def _partners(bound: int):
+    """(key, cls) of a block's members that have a likely partner with another label."""
 
     def run(batches):
         for group in _groups(batches, 3):
-            lo, hi = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            cls, label, part = (np.asarray(group.column(i)) for i in (3, 4, 5))
-            sig = _signature_rows(group.column(6).combine_chunks())
-            root = {x: x for x in np.unique(label).tolist()}
+            low, high = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            label, part = np.asarray(group.column(4)), np.asarray(group.column(5))
+            sig, found = _signature_rows(group.column(6).combine_chunks()), np.zeros(len(label), dtype=bool)
+            for i in range(len(label)):
+                other = _others(i, part, low, high)
+                other = other[(label[other] != label[i]) & ~(found[i] & found[other])]
+                if len(other):
+                    near = other[likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], bound)]
+                    found[near] = True
+                    found[i] |= len(near) > 0
+            if found.any():
+                mask = pa.array(found)
+                yield pa.RecordBatch.from_arrays([group.column(0).combine_chunks().filter(mask), group.column(3).combine_chunks().filter(mask)], names=["key", "cls"])
+
+    return run
+
 
-            def find(x, root=root):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
+def _linked(bound: int):
+    """A forest of the links across labels in each block, verified on full sets."""
 
-            out, now = [], label.copy()
+    def run(batches):
+        for group in _groups(batches, 3):
+            low, high = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+            cls, label, part = (np.asarray(group.column(i)) for i in (3, 4, 5))
+            each = [np.frombuffer(x.as_py(), _U) for x in group.column(6).combine_chunks()]
+            size = np.array([len(x) for x in each])
+            start = np.cumsum(size) - size
+            _, ids = np.unique(np.concatenate(each), return_inverse=True)
+            held, (_, now) = np.zeros(ids.max() + 1, dtype=bool), np.unique(label, return_inverse=True)
+            out = []
             for i in range(len(cls)):
-                other = np.arange(i + 1, len(cls)) if lo == hi else np.flatnonzero(part != lo) if part[i] == lo else np.zeros(0, np.int64)
-                other = other[now[other] != now[i]]
+                other = _others(i, part, low, high)
+                other = other[(now[other] != now[i]) & (100 * np.minimum(size[other], size[i]) >= bound * np.maximum(size[other], size[i]))]
                 if not len(other):
                     continue
-                other = other[likely(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], bound)]
-                for j in other.tolist():
-                    if not forest:
-                        out.append((int(cls[i]), int(cls[j])))
-                    elif (p := find(int(label[i]))) != (q := find(int(label[j]))):
+                mine = ids[start[i] : start[i] + size[i]]
+                held[mine] = True
+                if 4 * size[other].sum() > len(ids):
+                    both = np.add.reduceat(held[ids], start, dtype=np.int64)[other]
+                else:
+                    both = np.array([np.count_nonzero(held[ids[start[j] : start[j] + size[j]]]) for j in other.tolist()])
+                held[mine] = False
+                for j in other[100 * both >= bound * (size[i] + size[other] - both)].tolist():
+                    if now[i] != now[j]:
                         out.append((int(cls[i]), int(cls[j])))
-                        root[max(p, q)] = min(p, q)
-                if forest and len(other):
-                    now = np.array([find(x) for x in label.tolist()])
+                        now[now == now[j]] = now[i]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
@@ -217,14 +245,14 @@ class _Search:
         sized = self.rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         self.classes = settle(sized, "classes")
         keyed = self.classes.select("cls", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "cls", "n")
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-        self.members = settle(keyed.join(shared, "key"), "buckets")  # key, cls, n, held
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("weight")).where("held > 1")
+        self.members = settle(keyed.join(shared, "key"), "buckets")  # key, cls, n, held, weight
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def unresolved(self) -> DataFrame:
         """Members, with label, of buckets that hold several components and had more than one pair to test."""
-        marked = self.members.join(self.labels, F.col("cls") == F.col("id"), "left").select("key", "cls", "n", "held", F.coalesce("component", "cls").alias("label"))
+        marked = self.members.join(self.labels, F.col("cls") == F.col("id"), "left").select("key", "cls", "n", "held", "weight", F.coalesce("component", "cls").alias("label"))
         open_ = marked.where("held > 2").groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
         return marked.join(open_, "key", "left_semi")
 
@@ -233,40 +261,52 @@ class _Search:
         near = F.struct(F.xxhash64(F.lit(turn), "cls").alias("o"), F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))
         pivots = members.groupBy("key").agg(F.min(near).alias("p")).select("key", "p.*")
         pairs = members.join(pivots, "key").where(f"label <> pl and 100 * least(n, pn) >= {self.bound} * greatest(n, pn)")
-        pairs = _ordered(pairs.select(F.col("pivot").alias("a"), F.col("cls").alias("b")))
+        pairs = pairs.groupBy("cls").agg(F.min(F.struct("o", "pivot")).alias("p"))  # one pair a member and round, whatever its buckets
+        pairs = _ordered(pairs.select(F.col("p.pivot").alias("a"), F.col("cls").alias("b")))
         sig = self.classes.select("cls", "sig")
         both = pairs.join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("t")), "b").join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("s")), "a")
         return both.select("a", "b", "s", "t").mapInArrow(_keep_likely(self.bound), "a long, b long")
 
-    def across(self, members: DataFrame, forest: bool) -> DataFrame:
-        parts = F.expr(f"cast(ceil(held / {BLOCK}D) AS int)")
+    def blocks(self, members: DataFrame) -> DataFrame:
+        """Links across components in the buckets of `members`, all of them that matter to the components."""
+        parts = F.expr(f"cast(ceil(greatest(held / {BLOCK}D, weight / {BLOCK * 500}D)) AS int)")
         dealt = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cls"), "parts").cast("int"))
-        dealt = dealt.join(self.classes.select("cls", "sig"), "cls").withColumn("d", F.explode(F.expr("sequence(0, parts - 1)")))
-        dealt = dealt.select("key", F.least("part", "d").alias("lo"), F.greatest("part", "d").alias("hi"), "cls", "label", "part", "sig")
-        sorted_ = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        return _ordered(sorted_.mapInArrow(_across(self.bound, forest), "a long, b long"))
+
+        def blocked(rows: DataFrame, payload: str) -> DataFrame:
+            rows = rows.withColumn("d", F.explode(F.expr("sequence(0, parts - 1)")))
+            rows = rows.select("key", F.least("part", "d").alias("lo"), F.greatest("part", "d").alias("hi"), "cls", "label", "part", payload)
+            return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+        likely_ = blocked(dealt.join(self.classes.select("cls", "sig"), "cls"), "sig").mapInArrow(_partners(self.bound), "key long, cls long")
+        likely_ = settle(likely_.distinct(), "partners")
+        sets = self.sets(likely_.select("cls").distinct())
+        rows = dealt.join(likely_, ["key", "cls"]).join(sets, "cls")
+        return _ordered(blocked(rows, "hashes").mapInArrow(_linked(self.bound), "a long, b long"))
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(cls, hashes) of the wanted classes."""
+        wanted = wanted.join(self.classes.select("cls", "rep"), "cls")
+        sets = self.docs.join(wanted, F.col("doc_id") == F.col("rep")).select("cls", "text").mapInArrow(_sets(self.k), "cls long, hashes binary").dropDuplicates(["cls"])
+        return settle(sets, "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(self.classes.select("cls", "rep"), "cls")
-        sets = self.docs.join(wanted, F.col("doc_id") == F.col("rep")).select("cls", "text").mapInArrow(_sets(self.k), "cls long, hashes binary").dropDuplicates(["cls"])
-        sets = settle(sets, "sets")
+        sets = self.sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct())
         both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a")
         return both.select("a", "b", "x", "y").mapInArrow(_verify(self.bound), "a long, b long")
 
-    def add(self, pairs: DataFrame) -> None:
-        found = self.verified(pairs)
+    def add(self, found: DataFrame) -> None:
         self.links = settle(found if self.links is None else self.links.unionByName(found), "links")
         self.labels = components(self.links)
 
     def run(self) -> DataFrame:
         """(id, component) of linked classes."""
-        self.add(self.star(self.members.withColumn("label", F.col("cls")), 0))
-        for step in [*range(1, STARS), "forest", "all"]:
+        self.add(self.verified(self.star(self.members.withColumn("label", F.col("cls")), 0)))
+        for step in [*range(1, STARS), "blocks"]:
             left = settle(self.unresolved(), "unresolved")
             if left.isEmpty():
                 break
-            self.add(self.star(left, step) if isinstance(step, int) else self.across(left, step == "forest"))
+            self.add(self.blocks(left) if step == "blocks" else self.verified(self.star(left, step)))
         return self.labels
 
 
