@@ -168,3 +168,12 @@ def merge_graph(rows: DataFrame, limit: int) -> DataFrame:
     plain = ranked(rows.where("NOT is_graph"), ["query_id"], [F.col("rank"), F.col("key")], None, "place").withColumn("part", F.lit(0))
     plain = plain.join(taken, "query_id", "left").where(F.col("place") <= limit - F.coalesce("taken", F.lit(0))).drop("taken")
     return ranked(plain.unionByName(graph), ["query_id"], [F.col("part"), F.col("place")], None, "final_rank").drop("part", "place")
+
+
+def support_of(pairs: DataFrame, key: str) -> DataFrame:
+    """key, support of pairs (key, text, held): share of text's tokens, as often as they occur, that held has; by a join on (key,
+    token), so long texts cost no more than their tokens."""
+    have = pairs.select(key, F.explode(F.array_distinct(T.tokens(F.col("held")))).alias("token")).withColumn("hit", F.lit(1))
+    want = pairs.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    part = want.join(have, [key, "token"], "left").groupBy(key).agg((F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("support"))
+    return pairs.select(key).join(part, key, "left").withColumn("support", F.round(F.coalesce("support", F.lit(0.0)), 6))

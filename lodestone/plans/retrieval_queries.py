@@ -232,7 +232,7 @@ def x25_support_ratio(spark, sf):
     """Share of each document's tokens, counted as often as they occur, that the next document holds."""
     docs = load(spark, sf, "documents")
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("held"))
-    return docs.join(nxt, "doc_id").select("doc_id", F.round(T.support(F.col("text"), F.col("held")), 6).alias("support"))
+    return R.support_of(docs.select("doc_id", "text").join(nxt, "doc_id"), "doc_id")
 
 
 @query(f"WITH p AS (SELECT a.doc_id, list_distinct({TOK.format('a.text')}) AS o, list_distinct({TOK.format('b.text')}) AS c, list_distinct(regexp_extract_all(a.text, '[0-9]+(?:\\.[0-9]+)?')) AS na, list_distinct(regexp_extract_all(b.text, '[0-9]+(?:\\.[0-9]+)?')) AS nb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, coalesce(CASE WHEN least(len(o), len(c)) = 0 THEN 0 ELSE len(list_intersect(o, c))::DOUBLE / least(len(o), len(c)) END, 0) >= 0.3 AND len(list_filter(na, lambda x: NOT list_contains(nb, x))) = 0 AS kept FROM p")
