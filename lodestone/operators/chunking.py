@@ -63,7 +63,7 @@ def _joined(parts: list[str], sep: str, size: int, overlap: int) -> list[str]:
         if held and length([*held, part]) > size:
             if piece := sep.join(held).strip():
                 out.append(piece)
-            while held and length(held) > overlap:
+            while held and (length(held) > overlap or length([*held, part]) > size):
                 held = held[1:]
         held.append(part)
     if piece := sep.join(held).strip():

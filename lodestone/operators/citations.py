@@ -28,7 +28,8 @@ def dates(text: Column) -> Column:
 
 def claims(answers: DataFrame) -> DataFrame:
     """answer_id, at, sentence, cited: a row for each sentence and source number it cites (null without one)."""
-    rows = answers.select("answer_id", F.posexplode(X.sentences(F.col("answer"))).alias("at", "raw"))
+    marked = F.regexp_replace("answer", r"([。！？!?；;.])((?:\s*\[Source\s+\d+\])+)", "$2$1")  # marks after the stop belong before it
+    rows = answers.select("answer_id", F.posexplode(X.sentences(marked)).alias("at", "raw"))
     cited = F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(MARK), F.lit(1)), lambda n: n.cast("int")))
     return rows.withColumn("sentence", F.trim(F.regexp_replace("raw", MARK, ""))).withColumn("cited", F.explode_outer(cited)).drop("raw")
 
