@@ -5,10 +5,10 @@ from __future__ import annotations
 from .embeddings import OP5_SQL, op5_embeddings
 from .media import op4_media
 from .mixing import OP10_SQL, op10_mixing
-from .neardup import op8_minhash
+from .neardup import OP8_SQL, op8_minhash
 from .packing import op9_packing
 from .quality import op2_quality
-from .secrets import op1_secret_scan
+from .secrets import OP1_SQL, op1_secret_scan
 from .sharding import op6_sharding
 from .suffixes import op3_suffix_dedup
 from .urls import OP7_SQL, op7_url_filters
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op5_embeddings": OP5_SQL, "op7_url_filters": OP7_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op5_embeddings": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_minhash": OP8_SQL, "op10_mixing": OP10_SQL}

@@ -5,7 +5,7 @@ pieces between matches and the matches alternate, so running sums of their lengt
 
 Entropy: candidates are maximal runs of a character class. A fold over a candidate's characters slides a window over it and
 holds the count of each character and the sum of c * log2 c over the counts; a step changes two counts and that sum. The
-Shannon entropy of the window is log2(width) - sum / width. Overlapping windows at or above the class's bound make one span.
+Shannon entropy of the window is log2(width) - sum / width. Overlapping windows at or above the class's bound (less 1e-9, for rounding) make one span.
 Candidates that the allow list names (digits only, UUIDs, slugs of lower-case words, placeholders) are left out, as are
 entropy spans inside a pattern's span; pattern spans are never suppressed.
 """
@@ -60,7 +60,7 @@ def _windows(chars: str, least: float, width: int = WIDTH) -> str:
         (acc, i) -> element_at(transform(array(named_struct('x', {into}, 'y', {gone})), m ->
             element_at(transform(array(if(m.x = m.y, acc.s, acc.s + {weight}[acc.n[m.x] + 1] - {weight}[acc.n[m.x]] + if(m.y < 0, 0D, {weight}[acc.n[greatest(m.y, 0)] - 1] - {weight}[acc.n[greatest(m.y, 0)]]))), s ->
                 named_struct('n', if(m.x = m.y, acc.n, transform(acc.n, (v, j) -> v + if(j = m.x, 1, 0) - if(j = m.y, 1, 0))), 's', s,
-                    'out', if(i < {width - 1} OR {math.log2(width)!r}D - s / {width} < {least}D, acc.out,
+                    'out', if(i < {width - 1} OR {math.log2(width)!r}D - s / {width} < {least - 1e-9!r}D, acc.out,
                         if(size(acc.out) > 0 AND element_at(acc.out, -1).b >= i - {width - 1},
                             array_append(slice(acc.out, 1, size(acc.out) - 1), named_struct('a', element_at(acc.out, -1).a, 'b', i + 1)),
                             array_append(acc.out, named_struct('a', i - {width - 1}, 'b', i + 1)))))), 1)), 1),
@@ -131,3 +131,31 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(load(spark, sf_dir, "documents"))
+
+
+_KEY = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_PARTS = [("assign", 0, _KEY, 2, 6), ("access", 1, "AKIA[A-Z0-9]+", 0, 20), ("hex", 2, "[0-9a-f]+", 0, 24)]
+_RUNS = [(CLASSES[0][1], 3, CLASSES[0][2]), (CLASSES[1][1], 4, CLASSES[1][2])]
+_PLACES = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)"
+
+
+def _found(pattern: str, ord_: int, group: int) -> str:
+    cut = f"SELECT doc_id, {ord_} AS ord, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS p FROM d"
+    return f"SELECT doc_id, ord, {_PLACES} AS s, f[i] AS m, p[i] AS part FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM ({cut}))"
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({" UNION ALL ".join(f"SELECT doc_id, ord, s, s + length(m) AS e FROM ({_found(p, o, g)}) WHERE length(part) >= {n}" for _, o, p, g, n in _PARTS)}),
+cand AS ({" UNION ALL ".join(f"SELECT *, {least} AS least FROM ({_found(p, o, 0)})" for p, o, least in _RUNS)}),
+win AS (SELECT doc_id, ord, s, least, m, unnest(range(0, length(m) - {WIDTH} + 1)) AS k FROM cand WHERE NOT ({" OR ".join(f"regexp_matches(m, '{a}')" for a in ALLOWED)})),
+hot AS (SELECT doc_id, ord, s, k FROM win WHERE log2({WIDTH}) - list_sum(list_transform(map_values(list_aggregate(string_split(substr(m, (k + 1)::INT, {WIDTH}), ''), 'histogram')), lambda c: c * log2(c))) / {WIDTH} >= least - 1e-9),
+isl AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, ord, s ORDER BY k) AS n FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id, ord, s ORDER BY k) <= {WIDTH} THEN 0 ELSE 1 END AS fresh FROM hot)),
+ent AS (SELECT doc_id, ord, s + min(k) AS s, s + max(k) + {WIDTH} AS e FROM isl GROUP BY doc_id, ord, s, n),
+extra AS (SELECT * FROM ent x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s <= x.s AND x.e <= b.e)),
+names AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}')" for i, k in enumerate(KINDS))}) AS v(ord, kind)),
+b AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS base FROM base JOIN names USING (ord) GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) FILTER (ord > 2) AS n_entropy, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) JOIN names USING (ord) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""
