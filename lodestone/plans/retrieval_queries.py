@@ -248,3 +248,11 @@ def x19_tables_and_lines(spark, sf):
     """Non-blank lines, presence of a pipe table, and the line of the 101st character."""
     t = F.col("text")
     return load(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split(t, "\n"), lambda s: F.trim(s) != "")).alias("n_lines"), T.has_table(t).alias("has_table"), T.line_at(t, F.lit(100)).alias("line_at_100"))
+
+
+@query(f"WITH {BM25_SQL}, {COVER_SQL}, legs AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, rank FROM tr WHERE rank <= 40), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM legs GROUP BY query_id, doc_id), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rn FROM f), rr AS (SELECT query_id, doc_id, text, 0.7 * len(list_intersect(list_distinct({TOK.format('query')}), list_distinct({TOK.format('text')}))) / len(list_distinct({TOK.format('query')})) + 0.3 * greatest(0, least(1, rrf * 30)) AS s FROM p JOIN documents USING (doc_id) JOIN {ASKED_SQL} USING (query_id) WHERE rn <= 40), dd AS (SELECT query_id, doc_id, s, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS k FROM rr), e AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(k, 1, 512) ORDER BY s DESC, doc_id) AS n FROM dd) SELECT * FROM (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM e WHERE n = 1 OR k = '') WHERE rank <= 10")
+def r6_search(spark, sf):
+    """The whole retrieval plan over an open corpus."""
+    from .search import Corpus
+
+    return Corpus(load(spark, sf, "documents"), open=True).search(asked(spark))
