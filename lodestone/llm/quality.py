@@ -68,12 +68,21 @@ class Model:
         self.y, self.stands_for = y.astype(np.float64), stands_for.astype(np.float64)
         total = self.stands_for.sum()
         self.prior = float((self.y * self.stands_for).sum() / total) if total else 0.5
-        self.idf = np.log((1 + len(x)) / (1 + (x[:, :-STYLE] > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-        z = self.terms(x)
-        gram = (z @ z.T).astype(np.float64)
-        values, vectors = np.linalg.eigh(gram) if len(x) else (np.zeros(0), np.zeros((0, 0)))
+        # by blocks, and by subspace iteration rather than a full decomposition: the driver holds one dense copy of the sample
+        held = np.zeros(x.shape[1] - STYLE, dtype=np.int64)
+        for a in range(0, len(x), 256):
+            held += (x[a : a + 256, :-STYLE] > 0).sum(axis=0)
+        self.idf = np.log((1 + len(x)) / (1 + held)).astype(np.float32) + np.float32(1)
+        z = np.empty(x.shape, dtype=np.float32)
+        for a in range(0, len(x), 256):
+            z[a : a + 256] = self.terms(x[a : a + 256].astype(np.float32))
+        q = np.random.default_rng(7).standard_normal((len(x), min(len(x), dimensions + 16))).astype(np.float32)
+        for _ in range(6 if len(x) else 0):
+            q = np.linalg.qr(z @ (z.T @ q))[0]
+        small = q.T @ z
+        values, vectors = np.linalg.eigh((small @ small.T).astype(np.float64)) if len(x) else (np.zeros(0), np.zeros((0, 0)))
         top = [i for i in np.argsort(values)[::-1][:dimensions] if values[i] > 1e-9]
-        self.project = (z.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32) if top else np.zeros((x.shape[1], 0), np.float32)
+        self.project = (small.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32) if top else np.zeros((x.shape[1], 0), np.float32)
         self.vectors = _unit(z @ self.project)
 
     def terms(self, x: np.ndarray) -> np.ndarray:
@@ -109,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(take, f"doc_id {kind}, quality int, x binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = np.stack([np.frombuffer(r, np.float16) for r in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, BUCKETS + STYLE), np.float32)
+    x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(-1, BUCKETS + STYLE)
     y = got["quality"].to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
+    del got
     held = {q: max(1, int((y == q).sum())) for q in (0, 1)}
     return Model(x, y, np.array([sizes.get(int(q), 0) / held[int(q)] for q in y]))
 
