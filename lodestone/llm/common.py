@@ -85,7 +85,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = settle(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), name)
+        spent, e = e, settle(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), name)
+        release(spent)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
