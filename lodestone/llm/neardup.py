@@ -6,7 +6,7 @@ batch by batch of their signatures: a pair is dropped once the posterior probabi
 (uniform prior, so a binomial tail) is below `MISS`. Every pair that is left is verified on the full sets.
 
 Buckets are never expanded into all pairs at once. Star rounds compare each member with one of its buckets' pivots, which
-another hash chooses each round, and merge what verifies. Buckets that still hold members of several components then go through
+another hash chooses each round, and merge what verifies; the second also tests the pair of every bucket of two. Buckets that still hold members of several components then go through
 blocks of bounded size. In a block the pairs across components are pruned in place, members with a likely partner are sent
 again with their sets, and their pairs are verified in place: what is written is a forest of links, never the pairs, and no
 link that the bands and the posterior let through is lost to the components.
@@ -250,18 +250,20 @@ class _Search:
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def unresolved(self) -> DataFrame:
-        """Members, with label, of buckets that hold several components and had more than one pair to test."""
+    def unresolved(self, least: int) -> DataFrame:
+        """Members, with label, of buckets of `least` members or more that hold several components."""
         marked = self.members.join(self.labels, F.col("cls") == F.col("id"), "left").select("key", "cls", "n", "held", "weight", F.coalesce("component", "cls").alias("label"))
-        open_ = marked.where("held > 2").groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
+        open_ = marked.where(f"held >= {least}").groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
         return marked.join(open_, "key", "left_semi")
 
     def star(self, members: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each bucket's pivot with members of other components whose sizes allow the bound."""
+        """Pairs of buckets' pivots with members of other components whose sizes allow the bound: one a member, whatever its
+        buckets, and from turn 1 on the pair of every bucket of two."""
         near = F.struct(F.xxhash64(F.lit(turn), "cls").alias("o"), F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))
         pivots = members.groupBy("key").agg(F.min(near).alias("p")).select("key", "p.*")
         pairs = members.join(pivots, "key").where(f"label <> pl and 100 * least(n, pn) >= {self.bound} * greatest(n, pn)")
-        pairs = pairs.groupBy("cls").agg(F.min(F.struct("o", "pivot")).alias("p"))  # one pair a member and round, whatever its buckets
+        alone = F.when(F.col("held") == 2, F.col("key")) if turn else F.lit(None).cast("long")
+        pairs = pairs.groupBy("cls", alone.alias("alone")).agg(F.min(F.struct("o", "pivot")).alias("p"))
         pairs = _ordered(pairs.select(F.col("p.pivot").alias("a"), F.col("cls").alias("b")))
         sig = self.classes.select("cls", "sig")
         both = pairs.join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("t")), "b").join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("s")), "a")
@@ -302,11 +304,13 @@ class _Search:
     def run(self) -> DataFrame:
         """(id, component) of linked classes."""
         self.add(self.verified(self.star(self.members.withColumn("label", F.col("cls")), 0)))
+        least = 2
         for step in [*range(1, STARS), "blocks"]:
-            left = settle(self.unresolved(), "unresolved")
+            left = settle(self.unresolved(least), "unresolved")
             if left.isEmpty():
                 break
             self.add(self.blocks(left) if step == "blocks" else self.verified(self.star(left, step)))
+            least = 3  # the pairs of all buckets of two are tested
         return self.labels
 
 

@@ -66,6 +66,19 @@ def test_chain_needs_more_than_stars(spark):
     assert sorted(tuple(r) for r in got) == brute(rows, 4)
 
 
+def test_buckets_of_two_beside_decoys(spark):
+    rnd, rows = random.Random(9), []
+    for _ in range(60):  # b is a near copy of a; each decoy shares bands with b, too little to be linked, and few with a
+        a = [f"u{rnd.randrange(10**9)}" for _ in range(100)]
+        b = a[:10] + [f"u{rnd.randrange(10**9)}" for _ in range(5)] + a[15:]
+        rows += [" ".join(a), " ".join(b)]
+        for at in (30, 50, 70):
+            rows.append(" ".join(b[:at] + [f"u{rnd.randrange(10**9)}" for _ in range(15)] + b[at + 15 :]))
+    rows = list(enumerate(rows))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 5)
+
+
 def test_dedup_and_edges(spark):
     long = " ".join(f"z{i % 977} q{i}" for i in range(40_000))
     docs = spark.createDataFrame([(5, long, "a", 1), (3, long + " tail", "b", 2), (3, long + " tail", "b", 2), (9, None, "c", 3), (8, "", "d", 4)], SCHEMA)
