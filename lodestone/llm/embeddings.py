@@ -61,7 +61,7 @@ def _deal(dim: int, pivots: list[np.ndarray], parts: np.ndarray, bound: float):
             pick = np.asarray(batch.column(0)).astype(np.uint64)
             for k, (a, b) in enumerate(ranges):
                 y, p = x[:, a:b], pivots[k]
-                radius = (total * (b - a) / dim + SLACK) ** 0.5
+                radius = (total * (b - a) / dim + 2 * SLACK) ** 0.5  # beyond the limit of _join, whatever the rounding
                 d = (y**2).sum(1)[:, None] - 2 * y @ p.T + (p**2).sum(1)[None]
                 home = d.argmin(1)
                 gap = np.linalg.norm(p[home][:, None, :] - p[None], axis=2)
@@ -90,6 +90,7 @@ def _join(dim: int, subspaces: int, bound: float):
     """Partial link counts (cls, None, links) and links of a forest (cls, other, 0) of each pair of parts."""
     total, turn, ranges = 2 - 2 * bound, rotation(dim), cuts(dim, subspaces)
     limits = [total * (b - a) / dim + SLACK for a, b in ranges]
+    margins = [5e-7 * (b - a + 8) for a, b in ranges]  # a bound on the error of a squared distance in single precision
 
     def run(batches):
         for group in _groups(batches, 4):
@@ -102,7 +103,7 @@ def _join(dim: int, subspaces: int, bound: float):
             a, b = ranges[k]
             half = ((y[:, a:b] ** 2).sum(1) / -2)[:, None]
             ones = np.ones_like(half)
-            # minus half the squared distance as one product, in single precision: its error is far below SLACK
+            # minus half the squared distance as one product, in single precision: a first test, the second is in double
             rows_of, columns_of = (np.concatenate([y[:, a:b], *x], axis=1).astype(np.float32) for x in ((half, ones), (ones, half)))
             left, right = part == low, part == high
             for rows, columns in ((left & resident, right), (left & ~resident, right & resident)):  # not visitors with visitors
@@ -110,15 +111,15 @@ def _join(dim: int, subspaces: int, bound: float):
                 against = np.ascontiguousarray(columns_of[columns].T)
                 for s in range(0, len(ids), 256):
                     part_ids = ids[s : s + 256]
-                    i, j = np.divmod(np.flatnonzero((rows_of[part_ids] @ against).ravel() >= -limits[k] / 2), max(len(columns), 1))
+                    i, j = np.divmod(np.flatnonzero((rows_of[part_ids] @ against).ravel() >= -(limits[k] + margins[k]) / 2), max(len(columns), 1))
                     i, j = part_ids[i], columns[j]
                     if low == high:  # two residents meet twice, a resident and a visitor in the first turn too
                         once = resident[i] & (~resident[j] | (i < j))
                         i, j = i[once], j[once]
-                    for c in range(k):  # found by an earlier block: counted there
+                    for c in range(k + 1):  # within this block's limit and no earlier one's: found there, it is counted there
                         a2, b2 = ranges[c]
-                        first = ((y[i, a2:b2] - y[j, a2:b2]) ** 2).sum(1) <= limits[c]
-                        i, j = i[~first], j[~first]
+                        within = ((y[i, a2:b2] - y[j, a2:b2]) ** 2).sum(1) <= limits[c]
+                        i, j = i[within == (c == k)], j[within == (c == k)]
                     cosine = np.einsum("nd,nd->n", raw[i], raw[j]) / (np.linalg.norm(raw[i], axis=1) * np.linalg.norm(raw[j], axis=1))
                     i, j = i[cosine >= bound], j[cosine >= bound]
                     np.add.at(links, i, size[j])

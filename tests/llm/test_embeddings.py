@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import embeddings
-from lodestone.llm.embeddings import _forest, cuts, near_vectors, rotation
+from lodestone.llm.embeddings import SLACK, _forest, _join, cuts, near_vectors, rotation
 
 SCHEMA = "vec_id long, embedding array<double>, size string, label int"
 
@@ -50,6 +51,33 @@ def test_against_brute_force(spark, monkeypatch, dim, per, part):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_pairs_at_a_block_limit():
+    rng, dim, n = np.random.default_rng(4), 64, 200
+    q, (a, b) = rotation(dim), cuts(dim)[0]
+    limit = 0.2 * (b - a) / dim + SLACK
+    rows = []
+    for _ in range(n):  # squared distance just under the limit in the first block, small in the others
+        x = rng.standard_normal(dim)
+        x /= np.linalg.norm(x)
+        y = x.copy()
+        head, step = x[a:b] / np.linalg.norm(x[a:b]), rng.standard_normal(b - a)
+        step -= step @ head * head  # a turn of the block: it keeps the norm
+        r2, d2 = x[a:b] @ x[a:b], limit * (1 - 1e-10)
+        angle = 2 * np.arcsin(np.sqrt(d2 / r2) / 2)
+        y[a:b] = np.sqrt(r2) * (np.cos(angle) * head + np.sin(angle) * step / np.linalg.norm(step))
+        rows += [(x @ q.T).tolist(), (y @ q.T).tolist()]
+    m, found = len(rows), np.zeros(len(rows), dtype=int)
+    for k in range(4):
+        same = lambda v, t: pa.array(np.full(m, v), t)
+        columns = [same(k, pa.int32()), same(0, pa.int32()), same(0, pa.int32()), same(0, pa.int32()), pa.array(range(m), pa.int64()), same(1, pa.int64()), same(0, pa.int32()), same(True, pa.bool_()), pa.array(rows, pa.list_(pa.float64()))]
+        batch = pa.RecordBatch.from_arrays(columns, names=["block", "cell", "low", "high", "cls", "size", "part", "resident", "v"])
+        for out in _join(dim, 4, 0.9)(iter([batch])):
+            for at, other, links in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                found[at] += links if other is None else 0
+    x = np.array(rows)
+    assert found.tolist() == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+
+
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(r) for r in near_vectors(spark.createDataFrame([(4, None, None, None)], SCHEMA)).collect()] == [(4, 0, 4, True)]
