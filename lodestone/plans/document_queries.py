@@ -160,9 +160,9 @@ ANSWER = "concat(substr(text, 1, 60), ' [Source 1]\\n', CASE WHEN doc_id % 2 = 0
 @query()
 def x26_citations(spark, sf):
     """Citations of answers made from two documents, checked against them."""
-    d = load(spark, sf, "documents").where("doc_id % 2 = 0 OR length(text) > 100")
+    d = load(spark, sf, "documents")
     answers = d.selectExpr("doc_id AS answer_id", f"{ANSWER} AS answer")
-    sources = d.select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("n"), F.substring("text", 1, 2000).alias("text")).unionByName(d.select((F.col("doc_id") - 2).alias("answer_id"), F.lit(2).alias("n"), F.substring("text", 1, 2000).alias("text")))
+    sources = d.select(F.col("doc_id").alias("answer_id"), F.lit(1).alias("n"), "text").unionByName(d.select((F.col("doc_id") - 2).alias("answer_id"), F.lit(2).alias("n"), "text"))
     return V.verdicts(answers, V.verify(answers, sources))
 
 

@@ -134,3 +134,16 @@ def test_routing(spark):
     assert {r["kind"]: r["depends_on"] for r in plan} == {"web": [], "code": ["web"]}
     s = O.skill(F.col("q"), {"a": ["代码"], "b": ["网页", "搜索"], "c": ["x"]})
     assert q.select(s).collect()[3][0] == "b"
+
+
+def test_citations_take_whole_documents(spark, tmp_path):
+    from lodestone.plans.document_queries import x26_citations
+
+    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma upsilon omega " * 2
+    found = []
+    for tail in ("", own):  # answer 1 cites document 3, which supports it only by its end
+        rows = [(1, own), (3, "filler " * 400 + tail), (5, "odd and short")]
+        path = f"{tmp_path}/{len(tail)}"
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        found.append({r["answer_id"]: r for r in x26_citations(spark, path).collect()})
+    assert set(found[1]) == {1, 3, 5} and found[0][1] != found[1][1]
