@@ -3,16 +3,23 @@
 Everything is Column expressions. A pattern's spans come from `split` and `regexp_extract_all` on the same pattern: the
 pieces between matches and the matches alternate, so running sums of their lengths are the positions (code points).
 
-Entropy: candidates are maximal runs of a character class. A fold over a candidate's characters slides a window over it and
-holds the count of each character and the sum of c * log2 c over the counts; a step changes two counts and that sum. The
-Shannon entropy of the window is log2(width) - sum / width. Overlapping windows at or above the class's bound (less 1e-9, for rounding) make one span.
-Candidates that the allow list names (digits only, UUIDs, slugs of lower-case words, placeholders) are left out, as are
-entropy spans inside a pattern's span; pattern spans are never suppressed.
+Entropy: candidates are maximal runs of a character class, taken apart into pieces of `CHUNK` windows. A fold over a piece's
+characters slides a window over it and holds the count of each character, five bits each in `WORDS` integers, and the sum of
+c * log2 c over the counts; a step changes two counts and that sum. The Shannon entropy of the window is log2(width) - sum /
+width. Overlapping windows at or above the class's bound (less 1e-9, for rounding) make one span.
+
+Allow list: a run that is digits only, a UUID or a slug of lower-case words has no entropy spans, nor has a window that touches
+a stretch between slashes (and other characters of no key) that holds a placeholder. Entropy spans inside a pattern's span are
+left out; pattern spans are never suppressed.
+
+Texts of any length and number of matches take linear time: running sums go by blocks (`_prefix`), no pattern makes the
+regular expression engine recurse or try a place twice, and no span is sought in all others.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,55 +35,100 @@ PATTERNS = [
 #: Entropy kinds: name, class, and least bits a character in a window of WIDTH.
 WIDTH = 24
 CLASSES = [("entropy_hex", r"[0-9A-Fa-f]{24,}", 3.0), ("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}", 4.1)]
-ALLOWED = [r"^[0-9]+$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^[A-Z]?[a-z]+([-_/+=][A-Z]?[a-z]+)*$", r"(?i)example|placeholder|x{8}|0{8}|0123456789|abcdefghij"]
+#: Runs without entropy spans. The possessive group keeps Java's engine from recursing once for each word of a slug.
+ALLOWED = [r"^[0-9]+$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"^[A-Z]?[a-z]+(?:[-_/+=][A-Z]?[a-z]+)*+$"]
+#: Placeholders, and the stretch around one: lazy up to the first, from a stretch's first character only.
+PLACEHOLDER = r"(?i:example|placeholder|x{8}|0{8}|0123456789|abcdefghij)"
+STRETCH = rf"(?<![A-Za-z0-9+_=-])[A-Za-z0-9+_=-]*?{PLACEHOLDER}[A-Za-z0-9+_=-]*"
 KINDS = [k for k, *_ in PATTERNS] + [k for k, *_ in CLASSES]
 MASK = "[SECRET]"
+CHUNK, BLOCK = 1024, 64
+#: Counts of five bits, twelve to an integer, for the 80 characters from + (43) to z (122).
+WORDS = 7
 
 
 def _sql(s: str) -> str:
     return "r'" + s + "'" if "'" not in s else "r\"" + s + "\"" if '"' not in s else "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _matches(pattern: str, group: int) -> str:
-    """SQL: array of (start, end, found, part) of the pattern's matches in `text`."""
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _prefix(values: str, fold: Callable[[str, str], str]) -> str:
+    """SQL: for each element of an array of integers the fold, from 0, of those before it. An array grows by
+    copying, so blocks of BLOCK are folded on their own, each from the fold of the blocks before it."""
+    grow = f"(acc, x) -> named_struct('s', {fold('acc.s', 'x')}, 'out', array_append(acc.out, acc.s))"
+    empty = "cast(array() AS array<int>)"
+    sums = f"aggregate(__b, named_struct('s', 0, 'out', {empty}), (acc, y) -> named_struct('s', {fold('acc.s', f"aggregate(y, 0, (s, x) -> {fold('s', 'x')})")}, 'out', array_append(acc.out, acc.s)), acc -> acc.out)"
+    each = f"zip_with(__b, {sums}, (y, f) -> aggregate(y, named_struct('s', f, 'out', {empty}), {grow}, acc -> acc.out))"
+    return _let("__v", values, _let("__b", f"transform(sequence(0, cast((size(__v) - 1) div {BLOCK} AS int)), k -> slice(__v, k * {BLOCK} + 1, {BLOCK}))", f"flatten({each})"))
+
+
+def _sum(s: str, x: str) -> str:
+    return f"{s} + {x}"
+
+
+def _most(s: str, x: str) -> str:
+    return f"greatest({s}, {x})"
+
+
+def _matches(text: str, pattern: str, group: int) -> str:
+    """SQL: array of (start, end, found, part) of the pattern's matches in a text."""
     p = _sql(pattern)
-    part = f"regexp_extract_all(text, {p}, {group})"
-    return f"""aggregate(arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0), {part}),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<start: int, end: int, found: string, part: string>>)),
-        (acc, x) -> named_struct('at', acc.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'out', if(x.`1` IS NULL, acc.out, array_append(acc.out, named_struct('start', acc.at + length(x.`0`), 'end', acc.at + length(x.`0`) + length(x.`1`), 'found', x.`1`, 'part', x.`2`)))),
-        acc -> acc.out)"""
+    part = "__f" if not group else f"regexp_extract_all({text}, {p}, {group})"
+    out = "transform(__f, (x, i) -> named_struct('start', get(__s, i) + length(get(__g, i)), 'end', get(__s, i) + length(get(__g, i)) + length(x), 'found', x, 'part', get(__p, i)))"
+    out = _let("__s", _prefix("transform(__f, (x, i) -> length(get(__g, i)) + length(x))", _sum), out)
+    return _let("__f", f"regexp_extract_all({text}, {p}, 0)", _let("__g", f"split({text}, {p}, -1)", _let("__p", part, out)))
 
 
 def _windows(chars: str, least: float, width: int = WIDTH) -> str:
-    """SQL: spans (a, b) of the array `chars` that windows of at least `least` bits cover, by one incremental fold.
-
-    Characters lie between + (43) and z (122): 80 counts.
-    """
+    """SQL: spans (a, b) of the array `chars` that windows of at least `least` bits cover, by one incremental fold."""
     weight = "array(" + ", ".join(f"{c * math.log2(c) if c else 0.0!r}D" for c in range(width + 1)) + ")"
     into, gone = f"ascii({chars}[i]) - 43", f"if(i >= {width}, ascii({chars}[i - {width}]) - 43, -1)"
+    count = lambda x: f"cast(shiftright(get(acc.n, {x} div 12), 5 * ({x} % 12)) & 31 AS int)"
+    moved = "transform(acc.n, (v, k) -> v + if(k = m.x div 12, shiftleft(1L, 5 * (m.x % 12)), 0L) - if(m.y >= 0 AND k = m.y div 12, shiftleft(1L, 5 * (m.y % 12)), 0L))"
+    total = f"acc.s + {weight}[m.cx + 1] - {weight}[m.cx] + if(m.y < 0, 0D, {weight}[m.cy - 1] - {weight}[m.cy])"
+    hot = f"i >= {width - 1} AND {math.log2(width)!r}D - q / {width} >= {least - 1e-9!r}D"
+    first = f"i - {width - 1}"
+    step = f"""named_struct('n', if(m.x = m.y, acc.n, {moved}), 's', q,
+        'a', if({hot} AND (acc.a < 0 OR acc.b < {first}), {first}, acc.a), 'b', if({hot}, i + 1, acc.b),
+        'out', if({hot} AND acc.a >= 0 AND acc.b < {first}, array_append(acc.out, named_struct('a', acc.a, 'b', acc.b)), acc.out))"""
+    step = _let("q", f"if(m.x = m.y, acc.s, {total})", step)
+    step = _let("m", f"named_struct('x', w.x, 'y', w.y, 'cx', {count('w.x')}, 'cy', if(w.y < 0, 0, {count('greatest(w.y, 0)')}))", step)
+    step = _let("w", f"named_struct('x', {into}, 'y', {gone})", step)
     return f"""aggregate(sequence(0, size({chars}) - 1),
-        named_struct('n', array_repeat(0, 80), 's', 0D, 'out', cast(array() AS array<struct<a: int, b: int>>)),
-        (acc, i) -> element_at(transform(array(named_struct('x', {into}, 'y', {gone})), m ->
-            element_at(transform(array(if(m.x = m.y, acc.s, acc.s + {weight}[acc.n[m.x] + 1] - {weight}[acc.n[m.x]] + if(m.y < 0, 0D, {weight}[acc.n[greatest(m.y, 0)] - 1] - {weight}[acc.n[greatest(m.y, 0)]]))), s ->
-                named_struct('n', if(m.x = m.y, acc.n, transform(acc.n, (v, j) -> v + if(j = m.x, 1, 0) - if(j = m.y, 1, 0))), 's', s,
-                    'out', if(i < {width - 1} OR {math.log2(width)!r}D - s / {width} < {least - 1e-9!r}D, acc.out,
-                        if(size(acc.out) > 0 AND element_at(acc.out, -1).b >= i - {width - 1},
-                            array_append(slice(acc.out, 1, size(acc.out) - 1), named_struct('a', element_at(acc.out, -1).a, 'b', i + 1)),
-                            array_append(acc.out, named_struct('a', i - {width - 1}, 'b', i + 1)))))), 1)), 1),
-        acc -> acc.out)"""
+        named_struct('n', array_repeat(0L, {WORDS}), 's', 0D, 'a', -1, 'b', -1, 'out', cast(array() AS array<struct<a: int, b: int>>)),
+        (acc, i) -> {step}, acc -> if(acc.a < 0, acc.out, array_append(acc.out, named_struct('a', acc.a, 'b', acc.b))))"""
+
+
+def _run_spans(found: str, least: float) -> str:
+    """SQL: spans (a, b) of a run. Its windows are taken CHUNK at a time; spans of neighbouring chunks that meet are one."""
+    chunk = f"regexp_extract_all(cast(substring(__r, k * {CHUNK} + 1, {CHUNK + WIDTH - 1}) AS string), '.', 0)"
+    moved = f"transform({_let('c', chunk, _windows('c', least))}, x -> named_struct('a', x.a + k * {CHUNK}, 'b', x.b + k * {CHUNK}))"
+    parts = f"flatten(transform(sequence(0, cast((length(__r) - {WIDTH}) div {CHUNK} AS int)), k -> {moved}))"
+    firsts = "filter(__w, (x, i) -> i = 0 OR get(__w, i - 1).b < x.a)"
+    lasts = "filter(__w, (x, i) -> i = size(__w) - 1 OR x.b < get(__w, i + 1).a)"
+    joined = f"zip_with({firsts}, {lasts}, (x, y) -> named_struct('a', x.a, 'b', y.b))"
+    return _let("__r", f"cast({found} AS binary)", _let("__w", parts, joined))
 
 
 def _kind_spans(kind: str, pattern: str, least: int, group: int) -> Column:
-    spans = f"transform(filter({_matches(pattern, group)}, x -> length(x.part) >= {least}), x -> named_struct('start', x.start, 'ord', {KINDS.index(kind)}, 'end', x.end))"
+    spans = f"transform(filter({_matches('text', pattern, group)}, x -> length(x.part) >= {least}), x -> named_struct('start', x.start, 'ord', {KINDS.index(kind)}, 'end', x.end))"
     return F.expr(f"if(text RLIKE {_sql(pattern)}, {spans}, cast(array() AS array<struct<start: int, ord: int, end: int>>))")
 
 
 def _entropy_spans(kind: str, pattern: str, least: float) -> Column:
     allowed = " OR ".join(f"x.found RLIKE {_sql(p)}" for p in ALLOWED)
-    inner = f"element_at(transform(array(regexp_extract_all(x.found, '.', 0)), c -> {_windows('c', least)}), 1)"
-    spans = f"flatten(transform(filter({_matches(pattern, 0)}, x -> NOT ({allowed})), x -> transform({inner}, w -> named_struct('start', x.start + w.a, 'ord', {KINDS.index(kind)}, 'end', x.start + w.b))))"
-    return F.expr(f"if(text RLIKE {_sql(pattern)}, {spans}, cast(array() AS array<struct<start: int, ord: int, end: int>>))")
+    spans = f"flatten(transform(filter({_matches('__masked', pattern, 0)}, x -> NOT ({allowed})), x -> transform({_run_spans('x.found', least)}, w -> named_struct('start', x.start + w.a, 'ord', {KINDS.index(kind)}, 'end', x.start + w.b))))"
+    return F.expr(f"if(__masked RLIKE {_sql(pattern)}, {spans}, cast(array() AS array<struct<start: int, ord: int, end: int>>))")
+
+
+def _masked() -> Column:
+    """The text with spaces for the stretches that hold a placeholder."""
+    p, runs = _sql(STRETCH), _sql(CLASSES[1][1])
+    blank = f"array_join(flatten(transform(__g, (x, i) -> array(x, coalesce(repeat(' ', length(get(__f, i))), '')))), '')"
+    return F.expr(f"if(text RLIKE {_sql(PLACEHOLDER)} AND text RLIKE {runs}, {_let('__f', f'regexp_extract_all(text, {p}, 0)', _let('__g', f'split(text, {p}, -1)', blank))}, text)")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -90,23 +142,32 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def _scan(docs: DataFrame, base_as: str, spans_as: str) -> DataFrame:
     kept = docs.drop(base_as, spans_as)
-    narrow = kept.withColumn("__original", F.col("text")).withColumn("text", text_of())
+    narrow = kept.withColumn("__original", F.col("text")).withColumn("text", text_of()).withColumn("__masked", _masked())
     base = F.array_sort(F.concat(*[_kind_spans(*p) for p in PATTERNS]))
     entropy = F.concat(*[_entropy_spans(*c) for c in CLASSES])
     narrow = narrow.withColumn("__base", base).withColumn("__entropy", entropy)
-    extra = F.expr("filter(__entropy, x -> NOT exists(__base, b -> b.start <= x.start AND x.end <= b.end))")
-    narrow = narrow.withColumn("__spans", F.array_sort(F.concat("__base", extra)))
+    # sorted by start, an entropy span is inside a pattern's span if one of those before it ends as late or later
+    ends = _prefix(f"transform(__all, x -> if(x.ord < {len(PATTERNS)}, x.end, 0))", _most)
+    apart = _let("__all", "array_sort(concat(__base, __entropy))", _let("__m", ends, f"filter(__all, (x, i) -> x.ord < {len(PATTERNS)} OR get(__m, i) < x.end)"))
+    narrow = narrow.withColumn("__spans", F.expr(f"if(size(__entropy) = 0, __base, if(size(__base) = 0, array_sort(__entropy), {apart}))"))
     names = {c: F.col("__original").alias(c) if c == "text" else F.col(c) for c in kept.columns}
     return narrow.select(*names.values(), F.col("__base").alias(base_as), F.col("__spans").alias(spans_as))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret's span in text replaced by MASK (overlapping spans by one); n_chars, where present, follows."""
+    """docs with each secret's span in text replaced by MASK (overlapping spans by one); n_chars, where present, follows.
+
+    A text without a span stays as it is, null and empty ones with it; a text that is all secret becomes MASK. Repeated rows
+    are masked alike and stay, an empty table stays empty, and columns of any other name are handed through.
+    """
     found = _scan(docs, "__found_base", "__found").withColumn("__t", text_of())
-    text = f"""aggregate(__found, named_struct('at', 0, 'out', cast(array() AS array<string>)), (acc, x) -> named_struct(
-        'at', greatest(acc.at, x.end),
-        'out', if(x.start >= acc.at, array_append(array_append(acc.out, substring(__t, acc.at + 1, x.start - acc.at)), '{MASK}'), acc.out)),
-        acc -> concat(array_join(acc.out, ''), substring(__t, acc.at + 1)))"""
+    # groups of overlapping spans: one starts where no earlier span reaches; it ends at the most that is reached before the next
+    reach = _prefix("transform(__found, x -> x.end)", _most)
+    groups = "filter(transform(__found, (x, i) -> named_struct('start', x.start, 'before', get(__m, i))), x -> x.start >= x.before)"
+    cut = f"""if(__b <= __a, '', substring(array_join(slice(__c, cast(__a div {CHUNK} AS int) + 1, cast((__b - 1) div {CHUNK} - __a div {CHUNK} AS int) + 1), ''), __a % {CHUNK} + 1, __b - __a))"""
+    piece = _let("__a", "if(i = 0, 0, x.before)", _let("__b", "x.start", cut))
+    text = f"concat(array_join(transform(__n, (x, i) -> concat({piece}, '{MASK}')), ''), {_let('__a', 'array_max(transform(__found, x -> x.end))', _let('__b', 'length(__t)', cut))})"
+    text = _let("__m", reach, _let("__n", groups, _let("__c", f"regexp_extract_all(__t, '(?s).{{1,{CHUNK}}}', 0)", text)))
     hit = F.size("__found") > 0
     found = found.withColumn("text", F.when(hit, F.expr(text)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
@@ -120,7 +181,11 @@ def _listed(spans: str) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy: a row for each row of docs.
+
+    A null or empty text has counts of 0, the digest of no span and empty spans; repeated rows stay, ties in start go by kind,
+    an empty table gives an empty result, and columns other than doc_id and text are not read.
+    """
     found = scan(docs.select("doc_id", "text"))
     count = lambda k: F.expr(f"cast(size(filter(secret_base, x -> x.ord = {KINDS.index(k)})) AS long)").alias(f"n_{k}")
     return found.select(
@@ -130,6 +195,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents; nulls, empty and repeated rows as in `digest`."""
     return digest(load(spark, sf_dir, "documents"))
 
 
@@ -139,16 +205,18 @@ _RUNS = [(CLASSES[0][1], 3, CLASSES[0][2]), (CLASSES[1][1], 4, CLASSES[1][2])]
 _PLACES = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0)"
 
 
-def _found(pattern: str, ord_: int, group: int) -> str:
-    cut = f"SELECT doc_id, {ord_} AS ord, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS p FROM d"
+def _found(pattern: str, ord_: int, group: int, table: str = "d") -> str:
+    cut = f"SELECT doc_id, {ord_} AS ord, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS p FROM {table}"
     return f"SELECT doc_id, ord, {_PLACES} AS s, f[i] AS m, p[i] AS part FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM ({cut}))"
 
 
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+masks AS (SELECT doc_id, string_split_regex(t, '[^A-Za-z0-9+_=-]') AS g, regexp_extract_all(t, '[^A-Za-z0-9+_=-]') AS f FROM d),
+masked AS (SELECT doc_id, array_to_string(flatten(list_transform(g, lambda x, i: [CASE WHEN regexp_matches(x, '{PLACEHOLDER}') THEN repeat(' ', length(x)) ELSE x END, coalesce(f[i], '')])), '') AS t FROM masks),
 base AS ({" UNION ALL ".join(f"SELECT doc_id, ord, s, s + length(m) AS e FROM ({_found(p, o, g)}) WHERE length(part) >= {n}" for _, o, p, g, n in _PARTS)}),
-cand AS ({" UNION ALL ".join(f"SELECT *, {least} AS least FROM ({_found(p, o, 0)})" for p, o, least in _RUNS)}),
-win AS (SELECT doc_id, ord, s, least, m, unnest(range(0, length(m) - {WIDTH} + 1)) AS k FROM cand WHERE NOT ({" OR ".join(f"regexp_matches(m, '{a}')" for a in ALLOWED)})),
+cand AS ({" UNION ALL ".join(f"SELECT *, {least} AS least FROM ({_found(p, o, 0, 'masked')})" for p, o, least in _RUNS)}),
+win AS (SELECT doc_id, ord, s, least, m, unnest(range(0, length(m) - {WIDTH} + 1)) AS k FROM cand WHERE NOT ({" OR ".join(f"regexp_matches(m, '{a.replace("*+", "*")}')" for a in ALLOWED)})),
 hot AS (SELECT doc_id, ord, s, k FROM win WHERE log2({WIDTH}) - list_sum(list_transform(map_values(list_aggregate(string_split(substr(m, (k + 1)::INT, {WIDTH}), ''), 'histogram')), lambda c: c * log2(c))) / {WIDTH} >= least - 1e-9),
 isl AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, ord, s ORDER BY k) AS n FROM (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id, ord, s ORDER BY k) <= {WIDTH} THEN 0 ELSE 1 END AS fresh FROM hot)),
 ent AS (SELECT doc_id, ord, s + min(k) AS s, s + max(k) + {WIDTH} AS e FROM isl GROUP BY doc_id, ord, s, n),
