@@ -25,24 +25,58 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and returns the written table: lineage ends there, a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffle files of dead plans."""
-    import gc
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once to the shared folder and returns the written table: lineage ends there, a lost executor loses nothing of it.
 
-    spark = tables[0].sparkSession
+    The write's shuffle files go as soon as it ends, since nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    vars(out)["_settled_at"] = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes tables that `settle` wrote and nothing reads any more."""
     for table in tables:
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles() if "/lodestone/" in f}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        path = vars(table).pop("_settled_at", None) if table is not None else None
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Spread:
+    """Joins on a key of which one value may hold a third of all rows.
+
+    `sizes` has a row for each key that many rows may share: (key, held). Keys with more rows than the larger of LEAST and a
+    10,000th of the sum, so fewer than 10,000 of them, get a number of salts by their rows; only they are broadcast. Rows
+    are dealt by key and a hash of `by`, and the few rows of the other side are repeated for each salt of their key.
+    """
+
+    LEAST = 256
+
+    def __init__(self, sizes: DataFrame, by: str):
+        total = sizes.agg(F.sum("held")).first()[0] or 0
+        bound = max(self.LEAST, total // 10_000)
+        self.by = by
+        self.hot = settle(sizes.where(F.col("held") > bound).select("key", F.ceil(F.col("held") / bound).cast("int").alias("salts")), "hot-keys")
+
+    def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+        """rows joined on key with table, whose keys are distinct."""
+        salts = F.coalesce("salts", F.lit(1))
+        rows = rows.join(F.broadcast(self.hot), "key", "left").withColumn("salt", F.pmod(F.xxhash64(self.by), salts).cast("int")).drop("salts")
+        table = table.join(F.broadcast(self.hot), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        return rows.join(table, ["key", "salt"], how).drop("salt")
 
 
 def text_of(col: str = "text"):
