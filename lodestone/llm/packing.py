@@ -10,6 +10,8 @@ ranked, each pattern owns an interval of each class's ranks, and a piece finds i
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -26,56 +28,65 @@ from .common import load, numbered, settle, text_of
 SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
-#: Characters for which both tokenizer libraries split alike whatever Unicode version they were built with.
-_PLAIN = re.compile(r"[^\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞€]")
-_LONG_RUN = re.compile(r"\S{1000}")
+#: A space between two characters that are no white space begins a new word for the tokenizer whatever stands around it.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Chunks remembered by a worker, and the longest that is.
+CHUNKS, LONGEST = 500_000, 40
 
 
-def default_paths() -> tuple[str, str]:
+def default_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @lru_cache(maxsize=4)
-def encoder(json_path: str, ranks_path: str | None):
-    """text -> ids of the tokenizer in json_path, without special tokens added.
+def encoder(path: str):
+    """text -> ids of the tokenizer in the file, as little-endian bytes, without special tokens added.
 
-    Given the same vocabulary as ranks, texts of plain Latin characters and punctuation go through the faster library,
-    which gives the same ids; other texts, texts naming the special token and long unbroken runs go through the first.
+    A text is cut at single spaces between words, where byte-level pre-tokenizing always cuts, and the ids of the chunks are
+    those of the text. Chunks repeat, so each worker remembers those up to LONGEST characters, CHUNKS of them at most. A
+    tokenizer that does not cut so, or normalises, is given whole texts.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(json_path)
-    exact = lambda text: np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-    if not ranks_path:
-        return exact
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks_path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(text: str):
-        if _PLAIN.search(text) or "<|" in text or _LONG_RUN.search(text):
-            return exact(text)
-        return np.asarray(fast.encode_ordinary(text), dtype="<u4")
+    tokenizer = Tokenizer.from_file(path)
+    with open(path) as f:
+        how = json.load(f)
+    pre = how["pre_tokenizer"] or {}
+    cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not how["normalizer"]
+    cuts = cuts and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in how["added_tokens"])
+    known: dict[str, bytes] = {}
+
+    def ids(texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def encode(text: str) -> bytes:
+        if not cuts:
+            return ids([text])[0]
+        first, *rest = _CUT.split(text)
+        chunks = [first, *[" " + c for c in rest]]
+        fresh = list({c for c in chunks if c not in known})
+        if len(known) + len(fresh) > CHUNKS:
+            known.clear()
+            fresh = list(set(chunks))
+        given = dict(zip(fresh, ids(fresh), strict=True)) if fresh else {}
+        known.update((c, x) for c, x in given.items() if len(c) <= LONGEST)
+        return b"".join([known[c] if c in known else given[c] for c in chunks])
 
     return encode
 
 
-def pieces(docs: DataFrame, paths: tuple[str, str | None], sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: a row for each piece of each document."""
 
     def cut(batches):
-        encode = encoder(*paths)
+        encode = encoder(path)
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, text in zip(ids, batch.column(1), strict=True):
-                tokens = np.append(encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
+                tokens = np.frombuffer(encode(text.as_py()) + END_ID.to_bytes(4, "little"), dtype="<u4")
                 for at in range(0, len(tokens), sequence):
                     part = tokens[at : at + sequence]
                     for to, value in zip(out, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(tokens)), strict=True):
@@ -187,13 +198,13 @@ def intervals(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, in
     return out
 
 
-def pack(docs: DataFrame, paths: tuple[str, str | None] | None = None, sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, unit: int = UNIT) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the closing id alone. Repeated rows are packed as often as they occur; an empty table gives an
     empty result. Only doc_id and text are read. Equal lengths are told apart by a hash of doc_id, start and checksum.
     """
-    cut = settle(pieces(docs, paths or default_paths(), sequence), "pieces")
+    cut = settle(pieces(docs, path or default_path(), sequence), "pieces")
     cut = cut.withColumn("class", F.ceil(F.col("length") / unit).cast("int"))
     room = sequence // unit
     demand = np.zeros(room, dtype=np.int64)
@@ -213,4 +224,5 @@ def pack(docs: DataFrame, paths: tuple[str, str | None] | None = None, sequence:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, sequences of 2048 tokens; nulls, empty and long texts, ties and repeated rows as in `pack`."""
     return pack(load(spark, sf_dir, "documents"))
