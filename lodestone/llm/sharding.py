@@ -1,10 +1,11 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Groups of equal texts are indivisible. Every text is hashed to one of `PARCELS` parcels, so equal texts share one; a parcel is
-what is packed. Up to some ten thousands of groups nearly every parcel is one group, beyond that a parcel holds about
-1/4096 of a shard: the driver packs a bounded number of sizes however many documents there are. Parcels sorted by size,
-largest first, enter the bin with the least room that still takes them, found in a balanced (AA) tree keyed by room. Parcels
-above the mean fill get a shard of their own; the capacity of the others is the smallest that best fit meets.
+Groups of equal texts are indivisible: their sizes are summed by a 128-bit hash of the text before anything is packed. A group
+of more than a `PARCELS`-th of all bytes is a unit of its own, so there are fewer than `PARCELS` of those. Smaller groups are dealt
+by their hash to one of `PARCELS` parcels, which are units too: about 1/4096 of a shard each, however many groups there are.
+So the driver packs a bounded number of sizes. Units sorted by size, largest first, enter the bin with the least room that
+still takes them, found in a balanced (AA) tree keyed by room. Units above the mean fill get a shard of their own; the
+capacity of the others is the smallest that best fit meets.
 """
 
 from __future__ import annotations
@@ -151,15 +152,25 @@ def shard(docs: DataFrame, n_shards: int = 16, parcels: int = PARCELS) -> DataFr
     text = text_of()
     base = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(parcels)).cast("int").alias("parcel"),
+        F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"),
     )
     base = settle(base, "shard-base")
-    units = base.groupBy("parcel").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # at most `parcels` rows
-    placed = pack({r["parcel"]: r["size"] for r in units}, n_shards)
-    schema = T.StructType([T.StructField("parcel", T.IntegerType()), T.StructField("shard", T.IntegerType())])
-    where = docs.sparkSession.createDataFrame(sorted(placed.items()), schema)
-    rows = base.join(F.broadcast(where), "parcel")  # at most `parcels` rows of 8 bytes
-    rows = numbered(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32")], sum(r["n"] for r in units), "slot")
+    groups = base.groupBy("h", "g").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    groups = settle(groups, "shard-groups")
+    total = groups.agg(F.sum("size"), F.sum("n")).first()
+    alone = groups.where(F.col("size") * parcels > (total[0] or 0))
+    small = groups.join(F.broadcast(alone.select("h", "g")), ["h", "g"], "left_anti")
+    large = alone.select("h", "g", "size").orderBy("h", "g").collect()  # fewer than `parcels` rows
+    parcel = F.pmod("h", F.lit(parcels)).cast("int")
+    units = small.groupBy(parcel.alias("parcel")).agg(F.sum("size").alias("size")).collect()  # at most `parcels` rows
+    placed = pack({r["parcel"]: r["size"] for r in units} | {parcels + i: r["size"] for i, r in enumerate(large)}, n_shards)
+    spark = docs.sparkSession
+    field = lambda n, t: T.StructField(n, t())
+    where = spark.createDataFrame([(u, b) for u, b in sorted(placed.items()) if u < parcels], T.StructType([field("parcel", T.IntegerType), field("of_parcel", T.IntegerType)]))
+    own = spark.createDataFrame([(r["h"], r["g"], placed[parcels + i]) for i, r in enumerate(large)], T.StructType([field("h", T.LongType), field("g", T.LongType), field("of_group", T.IntegerType)]))
+    rows = base.join(F.broadcast(own), ["h", "g"], "left").withColumn("parcel", parcel).join(F.broadcast(where), "parcel", "left")  # at most `parcels` rows each
+    rows = rows.withColumn("shard", F.coalesce("of_group", "of_parcel"))
+    rows = numbered(rows, ["shard"], [F.col("doc_id"), F.col("text_crc32")], total[1] or 0, "slot")
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), F.lit(n_shards).alias("n_shards"),
@@ -167,4 +178,5 @@ def shard(docs: DataFrame, n_shards: int = 16, parcels: int = PARCELS) -> DataFr
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document into 16 shards of near equal bytes; nulls, empty texts, ties and repeated rows as in `shard`."""
     return shard(load(spark, sf_dir, "documents"))

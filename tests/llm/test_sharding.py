@@ -48,3 +48,26 @@ def test_rows(spark, n):
     place = {}
     for r in got:
         assert place.setdefault((r["size"], r["text_crc32"]), r["shard"]) == r["shard"]
+
+
+def test_groups_against_brute_force(spark):
+    rnd = random.Random(6)
+    texts = ["long " * 30_000, "copy " * 40] + ["".join(rnd.choices("abcdef ", k=rnd.randrange(0, 400))) for _ in range(300)]
+    rows = [(i, texts[rnd.randrange(len(texts)) if rnd.random() < 0.7 else 1]) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {}
+    for _, t in rows:
+        sizes[t] = sizes.get(t, 0) + len(t.encode()) + 1
+    for parcels in (65_536, 64):
+        got = {r["doc_id"]: r["shard"] for r in shard(docs, 8, parcels).collect()}
+        place, filled = {}, [0] * 8
+        for i, t in rows:
+            assert place.setdefault(t, got[i]) == got[i]
+        for t, n in sizes.items():
+            filled[place[t]] += n
+        # largest first into the least filled shard: no packing of these groups can do much better
+        heap = [0] * 8
+        for n in sorted(sizes.values(), reverse=True):
+            heap[heap.index(min(heap))] += n
+        unit = sum(sizes.values()) / parcels
+        assert max(filled) <= max(heap) * 1.01 + (0 if parcels > 64 else 3 * unit)
