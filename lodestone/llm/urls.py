@@ -6,8 +6,8 @@ and are not go into level 1; the listed labels that level 1 takes for such go in
 mistake. Within the universe the answer is exact: the first level that does not hold a key decides. Levels are bitmaps,
 built by DataFrame aggregation and put into the plan as constants, so the pages are judged in one scan without a join.
 
-A cascade's bitmaps are at most `MOST_BITS` together. A longer list is met by the same answer through a semi-join on labels
-(`listed_by_join`), since constants of a size that follows the data have no place in a plan.
+The bitmaps of a cascade are a stated bound, `MOST_BITS` or 64 MB, together (some 50 million listed keys of the universe), since
+constants of a size that follows the data have no place in a plan: a longer list raises an error and is not met otherwise.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, settle
+from .common import load, release, settle
 
 #: Rules: (verdict, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Host labels listed as advertising, gambling, adult, pharmacy and spam.
 LISTED = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-MOST_BITS = 8 << 20
+MOST_BITS = 1 << 29
 HASHES = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -56,34 +56,36 @@ def _places(key: Column, level: int, bits: int) -> list[Column]:
     return [F.xxhash64(F.lit(level), F.lit(k), key).bitwiseAND(F.lit(bits - 1)) for k in range(HASHES)]
 
 
-def _bitmap(keys: DataFrame, level: int, bits: int) -> list[int]:
-    """The level's bitmap as 64-bit words; at most bits / 64 rows reach the driver."""
+def _bitmap(keys: DataFrame, level: int, bits: int) -> bytes:
+    """The level's bitmap; at most bits / 64 rows reach the driver."""
     words = (
         keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS INT)))").alias("v"))
     )
-    out = [0] * (bits >> 6)
-    for r in words.collect():
-        out[r["w"]] = r["v"]
-    return out
-
-
-def _holds(key: Column, level: int, bits: int, words: list[int]) -> Column:
-    """Whether the level holds the key; the words are one constant of the plan."""
-    bitmap = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
-    tests = [F.call_function("getbit", F.get(bitmap, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(key, level, bits)]
+    out = bytearray(bits >> 3)
+    for r in words.toLocalIterator():
+        out[r["w"] * 8 : r["w"] * 8 + 8] = (r["v"] & (1 << 64) - 1).to_bytes(8, "little")
+    return bytes(out)
+
+
+def _holds(key: Column, level: int, bits: int, bitmap: bytes) -> Column:
+    """Whether the level holds the key; the bitmap is one constant of the plan, of which a test reads a byte."""
+    tests = []
+    for p in _places(key, level, bits):
+        byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.shiftright(p, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+        tests.append(F.call_function("getbit", byte, p.bitwiseAND(F.lit(7)).cast("int")) == 1)
     return reduce(lambda a, b: a & b, tests)
 
 
 class Cascade:
     """Exact membership of the universe's keys in a list. Keys outside the universe may be taken for either."""
 
-    def __init__(self, levels: list[tuple[int, list[int]]]):
+    def __init__(self, levels: list[tuple[int, bytes]]):
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade | None:
-        """listed, universe: (key), universe distinct. None where the bitmaps would exceed most_bits."""
+    def build(cls, listed: DataFrame, universe: DataFrame, most_bits: int = MOST_BITS) -> Cascade:
+        """listed, universe: (key), universe distinct. ValueError where the bitmaps would exceed most_bits."""
         inside, outside = universe.join(listed, "key", "left_semi"), universe.join(listed, "key", "left_anti")
         encode, other, levels, total = settle(inside, "listed"), settle(outside, "unlisted"), [], 0
         n = encode.count()
@@ -91,10 +93,11 @@ class Cascade:
             bits, level = _bits(n), len(levels)
             total += bits
             if total > most_bits:
-                return None
+                raise ValueError(f"the cascade of {n} keys on level {level} takes more than {most_bits} bits")
             levels.append((bits, _bitmap(encode, level, bits)))
             wrong = settle(other.where(_holds(F.col("key"), level, *levels[-1])), "level")
             encode, other, n = wrong, encode, wrong.count()
+        release(encode, other)
         return cls(levels)
 
     def holds(self, key: Column) -> Column:
@@ -109,17 +112,17 @@ def labels_of(host: Column) -> Column:
     return F.array_distinct(F.split(host, r"\."))
 
 
-def listed_by_join(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """rows (page_id, host, ...) with `listed` added by a join on labels: for lists beyond a cascade's size."""
-    hit = rows.select("host").distinct().select("host", F.explode(labels_of(F.col("host"))).alias("key")).join(listed, "key", "left_semi")
-    return rows.join(hit.select("host").distinct().withColumn("listed", F.lit(True)), "host", "left").fillna(False, ["listed"])
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(key) of a text file of one label a line; blank lines and those that begin with # are none."""
+    line = F.lower(F.trim("value"))
+    return spark.read.text(path).select(line.alias("key")).where("key <> '' AND NOT startswith(key, '#')").distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, listed: DataFrame | None = None, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.
 
     The verdict is the longest fitting rule's; without one it is block where a label of the host is listed, else allow.
-    listed: (key), `LISTED` by default; nulls and repeated keys count once or not at all. A null url, or one without ://,
+    listed: (key), from a table or `read_list`, `LISTED` by default; nulls and repeated keys count once or not at all. A null url, or one without ://,
     has an empty host and path and is allowed. Repeated rows stay; columns other than page_id and url are not read.
     """
     spark = pages.sparkSession
@@ -129,10 +132,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, listed: D
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     universe = rows.select(F.explode(labels_of(F.col("host"))).alias("key")).distinct()
     cascade = Cascade.build(listed.select("key").where("key is not null").distinct(), universe, most_bits)
-    if cascade is None:
-        rows = listed_by_join(rows, listed)
-    else:
-        rows = rows.withColumn("listed", F.exists(labels_of(F.col("host")), cascade.holds))
+    rows = rows.withColumn("listed", F.exists(labels_of(F.col("host")), cascade.holds))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select(
         "page_id", "host", "path", name.alias("rule"),
@@ -141,6 +141,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, listed: D
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages by the rules and the default list; nulls and repeated rows as in `judge`."""
     return judge(load(spark, sf_dir, "pages"))
 
 

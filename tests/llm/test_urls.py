@@ -1,4 +1,6 @@
-from lodestone.llm.urls import LISTED, Cascade, judge
+import pytest
+
+from lodestone.llm.urls import LISTED, Cascade, judge, read_list
 
 URLS = [
     None, "", "no-scheme.com/x", "http://Example.COM/en/1?q#f", "https://www.example.com/en/", "https://a.www.example.com/en/x", "https://www.example.com/de/",
@@ -23,14 +25,15 @@ def brute(url):
     return host, path, best, RULES[best] if best else "block" if set(host.split(".")) & set(LISTED) else "allow"
 
 
-def test_judge_with_and_without_cascade(spark):
+def test_judge(spark):
     rows = [(i, u, "h") for i, u in enumerate(URLS)] + [(3, URLS[3], "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    for bits in (8 << 20, 1):
-        got = judge(pages, most_bits=bits).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            assert tuple(r)[1:5] == brute(URLS[r["page_id"]])
+    got = judge(pages).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[1:5] == brute(URLS[r["page_id"]])
+    with pytest.raises(ValueError):
+        judge(pages, most_bits=1)
     assert judge(pages.limit(0)).collect() == []
 
 
@@ -43,3 +46,10 @@ def test_cascade_is_exact(spark):
 
     assert universe.where(cascade.holds(F.col("key")) != F.expr("crc32(key) % 3 = 0")).count() == 0
     assert Cascade.build(listed.limit(0), universe).levels == []
+
+
+def test_a_list_of_a_hundred_thousand_keys_from_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# labels\n\n" + "".join(f"Bad{i}\n" for i in range(0, 300_000, 3)))
+    pages = spark.range(60_000).selectExpr("id AS page_id", "concat('http://w.bad', id, '.org/') AS url")
+    got = judge(pages, listed=read_list(spark, str(tmp_path / "list.txt")))
+    assert got.where("listed <> (page_id % 3 = 0) OR (verdict = 'block') <> listed").count() == 0 and got.count() == 60_000
