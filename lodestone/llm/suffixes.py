@@ -33,8 +33,9 @@ LENGTH = 200
 GRAM = 48
 STEP = 10
 SHALLOW = 64
-#: Rows of a key above which it is split: this many, or a 500,000th of all (so 500,000 keys of 8 bytes are broadcast at most).
-MANY, MOST_SPLIT = 2048, 500_000
+#: Rows of a key above which it is split. Keys are known by their last 20 bits there, so 2**20 numbers are broadcast at most; a
+#: key that shares these bits with a large one is split along with it, which changes no result.
+MANY, SPLIT_BITS = 2048, (1 << 20) - 1
 _U = np.uint64
 _ROWS = "key long, s long, tk long, pos long, n int, kind int"
 
@@ -61,12 +62,12 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, leve
         return none
     anchor = (least[s] & _U(0xFFFFFFFF)).astype(np.int64)
     if level:
-        kept = np.isin(h[anchor], hot[0])
+        kept = np.isin(h[anchor] & _U(SPLIT_BITS), hot[0])
         s, anchor = s[kept], anchor[kept]
     step = (anchor - s) // (STEP if level == 1 else 1 if level == 2 else length)
     if level == 2 and len(s):
         core = (anchor - s) // STEP * STEP
-        kept = np.isin(_core_key(ranges, h, anchor, core, length), hot[1])
+        kept = np.isin(_core_key(ranges, h, anchor, core, length) & _U(SPLIT_BITS), hot[1])
         s, anchor, step = s[kept], anchor[kept], step[kept]
     if not len(s):
         return none
@@ -394,23 +395,26 @@ def _keyed(batches):
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> tuple[DataFrame, DataFrame]:
     """(docs as doc_id, text, tk; tk and an array of ranges (first, last) to be removed, which may overlap)."""
+    if not gram <= length <= gram + 255:
+        raise ValueError(f"length must be {gram} to {gram + 255}: places of anchors in windows have eight bits")
     spark = docs.sparkSession
     narrow = docs.select("doc_id", text_of().alias("text"))
     texts = narrow.select("text")
-    kept, hot, hot_sets = [], None, []
+    kept, written, hot, hot_sets = [], [], None, []
     for level in range(3):
         rows = settle(texts.mapInArrow(_scan(length, gram, level, hot), _ROWS), "segments")
         kept.append(rows)
+        written.append(rows)
         if level == 2:
             break
         sizes = rows.where("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-        bound = max(many, rows.count() // MOST_SPLIT)
-        split = sizes.where(F.col("rows") > bound).select("key").collect()  # MOST_SPLIT at most
+        low = F.col("key").bitwiseAND(F.lit(SPLIT_BITS)).alias("low")
+        split = sizes.where(F.col("rows") > many).select(low).distinct().collect()  # 2**20 at most
         if not split:
             break
-        keys = [r["key"] for r in split]
-        narrow_keys = spark.createDataFrame([(k,) for k in keys], "key long")
-        kept[-1] = rows.join(F.broadcast(narrow_keys), "key", "left_anti").select(*rows.columns)
+        keys = [r["low"] for r in split]
+        large = spark.createDataFrame([(k,) for k in keys], "low long")
+        kept[-1] = rows.withColumn("low", low).join(F.broadcast(large), "low", "left_anti").select(*rows.columns)
         hot_sets.append(np.sort(np.array(keys, dtype=np.int64).view(_U)))
         hot = spark.sparkContext.broadcast(list(hot_sets))
     sent, known = None, None
@@ -420,7 +424,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, man
     ordered = sent.repartition("key").sortWithinPartitions("key", "s")
     judged = settle(ordered.mapInArrow(_judge, _ROWS), "judged")
     twice = settle(judged.where("kind = 1").select("tk", "pos").unionByName(known), "twice")
-    release(*kept)
+    release(*written)
     keyed = narrow.mapInArrow(_keyed, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, text string, tk long")
     wanted = settle(judged.where("kind = 2").groupBy("tk").agg(F.collect_list(F.struct("key", "pos")).alias("segs")), "wanted")
     cut = keyed.join(wanted, "tk").select("tk", "text", "segs").mapInArrow(_cut(length), "key long, tk long, pos long, data binary")
@@ -448,4 +452,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, strings of 200 bytes; nulls, empty, long and repeated texts as in `remove_repeats`."""
     return remove_repeats(load(spark, sf_dir, "documents"))

@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pytest
 
+from lodestone.llm import suffixes
+
 from lodestone.llm.suffixes import deep_shallow, remove_repeats
 
 
@@ -74,3 +76,10 @@ def test_long_and_empty(spark):
     docs = spark.createDataFrame([(1, big), (2, big[1_000_000:1_000_500])], "doc_id long, text string")
     assert sorted(tuple(r)[:4] for r in remove_repeats(docs).collect()) == [(1, 3_000_000, 500, 1), (2, 500, 500, 1)]
     assert remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_length_out_of_range(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for length in (suffixes.GRAM - 1, suffixes.GRAM + 256):
+        with pytest.raises(ValueError):
+            suffixes.remove_repeats(docs, length=length)
