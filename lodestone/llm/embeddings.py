@@ -99,7 +99,7 @@ def _join(dim: int, subspaces: int, bound: float):
             raw = _matrix(group.column(8))
             unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
             y = unit @ turn
-            links, edges = np.zeros(len(cls), dtype=np.int64), []
+            links, edges = np.zeros(len(cls), dtype=np.int64), (np.zeros(0, np.int64),) * 2
             a, b = ranges[k]
             half = ((y[:, a:b] ** 2).sum(1) / -2)[:, None]
             ones = np.ones_like(half)
@@ -124,8 +124,9 @@ def _join(dim: int, subspaces: int, bound: float):
                     i, j = i[cosine >= bound], j[cosine >= bound]
                     np.add.at(links, i, size[j])
                     np.add.at(links, j, size[i])
-                    edges.append((i, j))
-            out_a, out_b = _forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]), len(cls)) if edges else (np.zeros(0, int),) * 2
+                    if len(i):  # with a forest of what came before: never more than a slab's links in memory
+                        edges = _forest(np.concatenate([edges[0], i]), np.concatenate([edges[1], j]), len(cls))
+            out_a, out_b = edges
             held = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([cls[held], cls[out_a]]), pa.int64()), pa.array([None] * len(held) + cls[out_b].tolist(), pa.int64()),
@@ -154,16 +155,18 @@ def near_vectors(vectors: DataFrame, bound: float = BOUND, subspaces: int = SUBS
     """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Cosines are taken in double precision. A vector that is null, empty, zero, or holds null or non-finite components is linked
-    with nothing, nor are vectors of different lengths. Repeated rows are linked with each other and stay; other columns are
+    with nothing, nor are vectors of different lengths. A row without a vec_id takes part; a component without any has a null
+    component_id and its rows are kept. Repeated rows are linked with each other and stay; other columns are
     not read; an empty table gives an empty result.
     """
     v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     good = F.expr("size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity')) AND exists(v, x -> x <> 0)")
     rows = vectors.select("vec_id", v.alias("v")).withColumn("ok", F.coalesce(good, F.lit(False)))
     rows = rows.withColumn("most", F.when(F.col("ok"), F.expr("array_max(transform(v, y -> abs(cast(y AS double))))")))
-    rows = rows.withColumn("cls", F.when(F.col("ok"), F.xxhash64(F.expr("transform(v, x -> cast(x AS double) / most)")))).drop("most")
-    rows = settle(rows.withColumn("dim", F.size("v")), "vectors")
-    classes = settle(rows.where("ok").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.first("dim").alias("dim")), "vector-classes")
+    rows = rows.withColumn("cls", F.expr("transform(v, x -> cast(x AS double) / most)")).drop("most")
+    same = F.when(F.col("ok"), F.xxhash64("cls")).alias("h"), F.when(F.col("ok"), F.xxhash64(F.lit(1), "cls")).alias("g")  # 128 bits
+    rows = settle(rows.select("vec_id", "v", "ok", *same, F.size("v").alias("dim")), "vectors")
+    classes = settle(rows.where("ok").groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("v").alias("v"), F.first("dim").alias("dim")).withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     counts, links = None, None
     for r in classes.groupBy("dim").count().where("count > 1").collect():  # a row for each length of vector
         same, dim, n = classes.where(F.col("dim") == r["dim"]), r["dim"], r["count"]
@@ -173,15 +176,15 @@ def near_vectors(vectors: DataFrame, bound: float = BOUND, subspaces: int = SUBS
         pairs = found.where("b is not null").select("a", "b")
         links = pairs if links is None else links.unionByName(pairs)
     if counts is None:
-        named = classes.select("cls", "size", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("links"))
+        named = classes.select("h", "g", "size", F.col("rep").alias("component_id"), F.lit(0).cast("long").alias("links"))
     else:
         label = components(links)
-        named = classes.join(label, F.col("cls") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cls")).select("cls", "rep", "size", "component")
+        named = classes.join(label, F.col("cls") == F.col("id"), "left").withColumn("component", F.coalesce("component", "cls")).select("h", "g", "cls", "rep", "size", "component")
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        named = named.join(least, "component").join(counts, F.col("cls") == F.col("a"), "left").select("cls", "size", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    out = rows.select("vec_id", "cls").join(named, "cls", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+        named = named.join(least, "component").join(counts, F.col("cls") == F.col("a"), "left").select("h", "g", "size", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    out = rows.select("vec_id", "ok", "h", "g").join(named, ["h", "g"], "left")
+    component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _compare(classes: DataFrame, dim: int, n: int, bound: float, subspaces: int) -> DataFrame:
@@ -205,6 +208,7 @@ def _compare(classes: DataFrame, dim: int, n: int, bound: float, subspaces: int)
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of embeddings at cosine 0.9; nulls, zero vectors and repeated rows as in `near_vectors`."""
     return near_vectors(load(spark, sf_dir, "embeddings"))
 
 
