@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, settle
+from .common import Spread, components, load, release, settle
 from .hashing import blocks, buffers, scramble, shingles, words
 
 WORDS = 5
@@ -77,7 +77,7 @@ def _sketch(k: int):
                 for r in range(ROWS):
                     bands = scramble(bands ^ sig[:, r::ROWS].astype(_U) + np.arange(BANDS, dtype=_U)[None, :] * _U(0x9E3779B97F4A7C15))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(size), pa.array(keys), pa.array([s.tobytes() for s in sig], pa.binary()), lists], names=["doc_id", "n", "cls", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(size), pa.array(keys), pa.array([s.tobytes() for s in sig], pa.binary()), lists], names=["doc_id", "digest", "n", "cls", "sig", "bands"])
 
     return run
 
@@ -240,13 +240,17 @@ class _Search:
         self.k, self.bound = k, bound
         narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
         self.docs = narrow
+        narrow = narrow.withColumn("digest", F.unhex(F.md5("text")))
         kind = narrow.schema["doc_id"].dataType.simpleString()
-        self.rows = settle(narrow.mapInArrow(_sketch(k), f"doc_id {kind}, n long, cls long, sig binary, bands array<bigint>"), "sketch")
+        self.rows = settle(narrow.mapInArrow(_sketch(k), f"doc_id {kind}, digest binary, n long, cls long, sig binary, bands array<bigint>"), "sketch")
         sized = self.rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         self.classes = settle(sized, "classes")
         keyed = self.classes.select("cls", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "cls", "n")
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("weight")).where("held > 1")
-        self.members = settle(keyed.join(shared, "key"), "buckets")  # key, cls, n, held, weight
+        shared = settle(shared, "shared")
+        self.spread = Spread(shared, "cls")
+        self.members = settle(self.spread.join(keyed, shared), "buckets")  # key, cls, n, held, weight
+        release(shared)
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -254,14 +258,14 @@ class _Search:
         """Members, with label, of buckets of `least` members or more that hold several components."""
         marked = self.members.join(self.labels, F.col("cls") == F.col("id"), "left").select("key", "cls", "n", "held", "weight", F.coalesce("component", "cls").alias("label"))
         open_ = marked.where(f"held >= {least}").groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-        return marked.join(open_, "key", "left_semi")
+        return self.spread.join(marked, open_, "left_semi")
 
     def star(self, members: DataFrame, turn: int) -> DataFrame:
         """Pairs of buckets' pivots with members of other components whose sizes allow the bound: one a member, whatever its
         buckets, and from turn 1 on the pair of every bucket of two."""
         near = F.struct(F.xxhash64(F.lit(turn), "cls").alias("o"), F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))
         pivots = members.groupBy("key").agg(F.min(near).alias("p")).select("key", "p.*")
-        pairs = members.join(pivots, "key").where(f"label <> pl and 100 * least(n, pn) >= {self.bound} * greatest(n, pn)")
+        pairs = self.spread.join(members, pivots).where(f"label <> pl and 100 * least(n, pn) >= {self.bound} * greatest(n, pn)")
         alone = F.when(F.col("held") == 2, F.col("key")) if turn else F.lit(None).cast("long")
         pairs = pairs.groupBy("cls", alone.alias("alone")).agg(F.min(F.struct("o", "pivot")).alias("p"))
         pairs = _ordered(pairs.select(F.col("p.pivot").alias("a"), F.col("cls").alias("b")))
@@ -288,7 +292,7 @@ class _Search:
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cls, hashes) of the wanted classes."""
         wanted = wanted.join(self.classes.select("cls", "rep"), "cls")
-        sets = self.docs.join(wanted, F.col("doc_id") == F.col("rep")).select("cls", "text").mapInArrow(_sets(self.k), "cls long, hashes binary").dropDuplicates(["cls"])
+        sets = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text").mapInArrow(_sets(self.k), "cls long, hashes binary").dropDuplicates(["cls"])
         return settle(sets, "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -298,8 +302,10 @@ class _Search:
         return both.select("a", "b", "x", "y").mapInArrow(_verify(self.bound), "a long, b long")
 
     def add(self, found: DataFrame) -> None:
+        spent = [self.links, self.labels]
         self.links = settle(found if self.links is None else self.links.unionByName(found), "links")
         self.labels = components(self.links)
+        release(*spent)
 
     def run(self) -> DataFrame:
         """(id, component) of linked classes."""
@@ -310,6 +316,7 @@ class _Search:
             if left.isEmpty():
                 break
             self.add(self.blocks(left) if step == "blocks" else self.verified(self.star(left, step)))
+            release(left)
             least = 3  # the pairs of all buckets of two are tested
         return self.labels
 
@@ -318,28 +325,41 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, bound: int = BOUND) -> Data
     """A row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle, a
-    null or wordless one has none and is linked with nothing. Documents are linked when 100 * intersection >= bound * union of
+    null or wordless one has none and is linked with nothing. A row without a doc_id takes part; a component without any has a
+    null component_id and its rows are kept. Documents are linked when 100 * intersection >= bound * union of
     their sets; component_id is the smallest doc_id reachable, kept tells whether it is the document's own. Repeated rows are
     linked with each other and stay; an empty table gives an empty result; columns besides doc_id and text are not read.
     """
+    out = _found(docs, k, bound)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _found(docs: DataFrame, k: int, bound: int) -> DataFrame:
+    """A row per row of docs: doc_id, digest (of the text), n, component (null without words) and component_id."""
     search = _Search(docs, k, bound)
     labels = search.run()
     named = search.classes.select("cls", "rep").join(labels, F.col("cls") == F.col("id"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("component"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "component").select("cls", "component_id")
-    out = search.rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = named.join(smallest, "component").select("cls", "component", "component_id")
+    out = search.rows.select("doc_id", "digest", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+    return out.select("doc_id", "digest", "n", "component", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, k: int = WORDS, bound: int = BOUND) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id. Repeated rows of it count as one."""
-    found = settle(near_duplicates(docs, k, bound), "near-duplicates")
-    kept = found.where("kept")
-    out = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns)
+    """docs with one row of each group of near-duplicates: that of the smallest doc_id, of equal ids that of the smallest text
+    digest; a group without ids keeps its smallest digest. Of equal rows (by doc_id and text) of a group one stays, whichever.
+    Rows without words are linked with nothing and all stay; an empty table stays empty; other columns are handed through.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    found = _found(docs, k, bound).where("component is not null").groupBy("component").agg(first)
+    kept = settle(found.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")).distinct(), "near-duplicates")
+    marked = docs.withColumn("__digest_of", F.unhex(F.md5(F.col("text").cast("string"))))
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    out = marked.where(worded).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest_of") == F.col("__digest")), "left_semi")
+    twice = out.groupBy("doc_id", "__digest_of").count().where("count > 1")
+    if not twice.isEmpty():
+        out = out.dropDuplicates(["doc_id", "__digest_of"])
+    return out.unionByName(marked.where(~worded)).select(*docs.columns)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,15 @@ def test_posterior_bound_misses_little():
     rng, table = np.random.default_rng(0), least_matches(80)
     m = np.cumsum(rng.random((20000, 130)) < 0.8, axis=1)[:, 9::10]
     assert ((m < table).any(axis=1)).mean() < 1e-3 and table[-1] > 70
+
+
+def test_rows_without_ids_and_equal_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other, third = base.replace("w", "v"), base.replace("w", "u")
+    rows = [(None, base, 1), (7, base + " tail", 1), (9, base + " more", 1), (None, other, 2), (None, other + " x", 2), (4, third, 3), (4, "quite another text of enough words", 3), (4, third, 3), (5, None, 4), (5, None, 4), (None, "", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()), key=str)
+    assert [x for x in got if x[0] in (7, 9)] == [(7, 57, 7, True), (9, 57, 7, False)]
+    assert sorted((x[2:] for x in got if x[0] is None), key=str) == sorted([(7, False), (None, True), (None, True), (None, True)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in neardup.dedup(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(7, base + " tail"), min([(None, other), (None, other + " x")], key=lambda x: __import__("hashlib").md5(x[1].encode()).digest()), (4, third), (4, rows[6][1]), (5, None), (5, None), (None, "")], key=str)
