@@ -150,11 +150,13 @@ def is_identifier(query: Column) -> Column:
 
 
 def drift_ok(original: Column, changed: Column, least: float = 0.3) -> Column:
-    """Whether a rewritten query keeps enough tokens of the original (over the smaller set) and all its numbers."""
+    """Whether a rewritten query keeps enough tokens of the original (over the smaller set) and holds each of its numbers somewhere.
+    A blank rewriting fails; an original without tokens passes."""
     a, b = F.array_distinct(tokens(original)), F.array_distinct(tokens(changed))
     both, small = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
-    numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)))
-    return (F.when(small == 0, F.lit(0.0)).otherwise(both / small) >= least) & (F.size(F.array_except(numbers(original), numbers(changed))) == 0)
+    numbers = F.regexp_extract_all(original, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+    kept = (small > 0) & (both >= least * small) & F.forall(numbers, lambda n: F.contains(changed, n))
+    return F.when(F.trim(F.coalesce(changed, F.lit(""))) == "", False).when(F.size(a) == 0, True).otherwise(F.coalesce(kept, F.lit(False)))
 
 
 def trust(text: Column, is_image: Column, engine: Column, confidence: Column, review: Column, quality_ok: Column, ocr_ok: Column) -> Column:

@@ -17,10 +17,6 @@ INTENTS = [
 KNOWLEDGE = r"(?i)[?？]|什么|如何|怎么|多少|哪|为什么|是否|how|what|when|where|which|why|who"
 #: Kinds of subtasks by their markers.
 TASKS = [("web", r"(?i)网上|联网|搜索网页|web search|online"), ("code", r"(?i)代码|脚本|计算|code|script|python"), ("document", r"(?i)文档|资料|知识库|document|report")]
-#: Precedence of states in a task's status.
-STATES = ["failed", "cancelled", "running", "pending", "interrupted"]
-
-
 def intent(query: Column) -> Column:
     out = F.when(query.rlike(KNOWLEDGE), "knowledge").otherwise("unknown")
     for name, pattern in reversed(INTENTS):
@@ -36,12 +32,14 @@ def plan(query: Column) -> Column:
 
 
 def aggregate_status(states: Column) -> Column:
-    """completed if all are; else the first state of precedence among them; pending for none."""
-    done = (F.size(states) > 0) & F.forall(states, lambda s: s == "completed")
-    out = F.lit("pending")
-    for s in reversed(STATES):
-        out = F.when(F.array_contains(states, s), s).otherwise(out)
-    return F.when(done, "completed").otherwise(out)
+    """completed if all are; else awaiting_approval, running or partial_failure, the first that is among them; partial_failure if
+    some are completed; unavailable if all are; stopped if one is; else failed, for no states too."""
+    has = lambda s: F.array_contains(states, s)
+    all_are = lambda s: (F.size(states) > 0) & F.forall(states, lambda x: F.coalesce(x == s, F.lit(False)))
+    return (
+        F.when(all_are("completed"), "completed").when(has("awaiting_approval"), "awaiting_approval").when(has("running"), "running")
+        .when(has("partial_failure") | has("completed"), "partial_failure").when(all_are("unavailable"), "unavailable").when(has("stopped"), "stopped").otherwise("failed")
+    )
 
 
 def skill(query: Column, skills: dict[str, list[str]]) -> Column:
@@ -60,10 +58,23 @@ def cross_language(query: Column, evidence: Column) -> Column:
     return query.rlike(r"[\x{4e00}-\x{9fff}]") & (latin > F.greatest(F.lit(80), 3 * han))
 
 
+#: Names that are ids as they stand, and the id of no name.
+VALID_ID, DEFAULT_TENANT = r"^[A-Za-z0-9][A-Za-z0-9_.-]{0,63}$", "default"
+
+
+def _named(name: Column, mark: str, none: Column) -> Column:
+    plain = F.trim(F.coalesce(name, F.lit("")))
+    return F.when(plain == "", none).when(plain.rlike(VALID_ID), plain).otherwise(F.concat(F.lit(mark), F.substring(F.sha1(plain), 1, 12)))
+
+
 def tenant_id(name: Column) -> Column:
-    """Trimmed lower-case name with other characters than a-z, 0-9, - and _ as -, or a hash of the name where nothing is left."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9_-]+", "-"), r"^-+|-+$", "")
-    return F.when(plain == "", F.concat(F.lit("t-"), F.substring(F.sha2(F.trim(name), 256), 1, 12))).otherwise(plain)
+    """The trimmed name where it is a valid id, c and 12 digits of its SHA-1 where not, the default for none."""
+    return _named(name, "c", F.lit(DEFAULT_TENANT))
+
+
+def department_id(name: Column) -> Column:
+    """As `tenant_id`, with d for c and null for none."""
+    return _named(name, "d", F.lit(None).cast("string"))
 
 
 def numeric_conflict(a: Column, b: Column) -> Column:

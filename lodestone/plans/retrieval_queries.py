@@ -235,7 +235,7 @@ def x25_support_ratio(spark, sf):
     return R.support_of(docs.select("doc_id", "text").join(nxt, "doc_id"), "doc_id")
 
 
-@query(f"WITH p AS (SELECT a.doc_id, list_distinct({TOK.format('a.text')}) AS o, list_distinct({TOK.format('b.text')}) AS c, list_distinct(regexp_extract_all(a.text, '[0-9]+(?:\\.[0-9]+)?')) AS na, list_distinct(regexp_extract_all(b.text, '[0-9]+(?:\\.[0-9]+)?')) AS nb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, coalesce(CASE WHEN least(len(o), len(c)) = 0 THEN 0 ELSE len(list_intersect(o, c))::DOUBLE / least(len(o), len(c)) END, 0) >= 0.3 AND len(list_filter(na, lambda x: NOT list_contains(nb, x))) = 0 AS kept FROM p")
+@query(f"WITH p AS (SELECT a.doc_id, list_distinct({TOK.format('a.text')}) AS o, list_distinct({TOK.format('b.text')}) AS c, regexp_extract_all(a.text, '[0-9]+(?:\\.[0-9]+)?') AS na, coalesce(b.text, '') AS t FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, CASE WHEN trim(t) = '' THEN FALSE WHEN len(o) = 0 THEN TRUE ELSE len(c) > 0 AND len(list_intersect(o, c)) >= 0.3 * least(len(o), len(c)) AND len(list_filter(na, lambda x: NOT contains(t, x))) = 0 END AS kept FROM p")
 def x31_drift_gate(spark, sf):
     """Whether the next document would pass for a rewriting of each document."""
     docs = load(spark, sf, "documents")

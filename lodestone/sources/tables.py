@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the namespace of point ids.
-NAMESPACE = uuid.NAMESPACE_URL
+NAMESPACE = uuid.NAMESPACE_DNS
 
 
 def upload_plan(uploads: DataFrame, known: DataFrame) -> DataFrame:
@@ -47,6 +47,9 @@ def _uuid5(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else str(uuid.uuid5(NAMESPACE, s)))
 
 
-def point_id(*parts: Column) -> Column:
-    """UUIDv5 of the parts joined by ::, null as empty."""
-    return _uuid5(F.concat_ws("::", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+def point_id(document_id: Column, filename: Column, page: Column, section: Column, heading: Column, index: Column, text: Column, kind: Column | None = None, image_id: Column | None = None) -> Column:
+    """UUIDv5 of nine fields joined by ::, the text last. A null field is written None, a null image_id as nothing; kind is text
+    unless given."""
+    shown = [F.coalesce(c.cast("string"), F.lit("None")) for c in (document_id, filename, page, section, heading, index, F.lit("text") if kind is None else kind)]
+    image = F.lit("") if image_id is None else F.coalesce(image_id.cast("string"), F.lit(""))
+    return _uuid5(F.concat_ws("::", *shown, image, F.coalesce(text, F.lit("None"))))
