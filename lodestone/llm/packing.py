@@ -29,9 +29,9 @@ SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
 #: A space between two characters that are no white space begins a new word for the tokenizer whatever stands around it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Chunks remembered by a worker, and the longest that is.
-CHUNKS, LONGEST = 500_000, 40
+_CUT, _BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ | $| \s|\s ")
+#: Chunks that a worker remembers at least before it stops taking more, and the longest that is remembered.
+CHUNKS, LONGEST = 800_000, 40
 
 
 def default_path() -> str:
@@ -45,7 +45,7 @@ def encoder(path: str):
     """text -> ids of the tokenizer in the file, as little-endian bytes, without special tokens added.
 
     A text is cut at single spaces between words, where byte-level pre-tokenizing always cuts, and the ids of the chunks are
-    those of the text. Chunks repeat, so each worker remembers those up to LONGEST characters, CHUNKS of them at most. A
+    those of the text. Chunks repeat, so each worker remembers those up to LONGEST characters, the first CHUNKS or so. A
     tokenizer that does not cut so, or normalises, is given whole texts.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
@@ -57,23 +57,30 @@ def encoder(path: str):
     pre = how["pre_tokenizer"] or {}
     cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not how["normalizer"]
     cuts = cuts and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in how["added_tokens"])
-    known: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}  # by chunk without the space before it; by chunk with one, where the text begins without
 
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def ids(chunks: list[str]) -> list[bytes]:
+        """Of each chunk, from one run over all of them: a token is the chunk's in which it ends."""
+        e = tokenizer.encode("".join(chunks), add_special_tokens=False)
+        ends, starts = np.fromiter((b for _, b in e.offsets), np.int64, len(e.ids)), np.cumsum([len(c) for c in chunks])
+        cut = [0, *(4 * np.searchsorted(ends, starts[:-1], "right")).tolist(), 4 * len(e.ids)]
+        data = np.asarray(e.ids, dtype="<u4").tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def encode(text: str) -> bytes:
         if not cuts:
             return ids([text])[0]
-        first, *rest = _CUT.split(text)
-        chunks = [first, *[" " + c for c in rest]]
-        fresh = list({c for c in chunks if c not in known})
-        if len(known) + len(fresh) > CHUNKS:
-            known.clear()
-            fresh = list(set(chunks))
-        given = dict(zip(fresh, ids(fresh), strict=True)) if fresh else {}
-        known.update((c, x) for c, x in given.items() if len(c) <= LONGEST)
-        return b"".join([known[c] if c in known else given[c] for c in chunks])
+        first, *rest = _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
+        chunks = [" " + first, *rest]
+        out = list(map(known.get, chunks))
+        if None in out:
+            fresh = list(dict.fromkeys(c for c, x in zip(chunks, out, strict=True) if x is None))
+            begins = out[0] is None
+            given = dict(zip(fresh, ids([first, *[" " + c for c in fresh[1:]]] if begins else [" " + c for c in fresh]), strict=True))
+            out = [given[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
+            if len(known) < CHUNKS:
+                known.update((c, x) for c, x in given.items() if len(c) < LONGEST)
+        return b"".join(out)
 
     return encode
 
