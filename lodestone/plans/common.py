@@ -15,7 +15,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)

@@ -28,12 +28,11 @@ def test_rate_limit_and_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string")
     docs.coalesce(1).write.parquet(str(tmp_path / "d"))
     target = str(tmp_path / "terms")
-    for text in ("a b a", "new words"):
+    for _ in range(2):
         source = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "d"))
         q = K.index_terms(source, target, str(tmp_path / "ck")).start()
         q.processAllAvailable()
         q.stop()
         spark.createDataFrame([(1, "new words")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
         time.sleep(0.1)
-        assert text
     assert {r["doc_id"]: r["terms"] for r in spark.read.parquet(target).collect()} == {1: "new words", 2: "c"}
