@@ -15,9 +15,11 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,10 +30,14 @@ from .common import load, numbered, settle, text_of
 SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
-#: A space between two characters that are no white space begins a new word for the tokenizer whatever stands around it.
-_CUT, _BESIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"^ | $| \s|\s ")
-#: Chunks that a worker remembers at least before it stops taking more, and the longest that is remembered.
-CHUNKS, LONGEST = 800_000, 40
+#: Where the tokenizer cuts whatever stands around: before a space or line end between characters that are no white space, and
+#: inside what lies between those, where a letter meets ASCII punctuation (an apostrophe may belong to the letters after it).
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_ATOMS = [rf"({_LETTER})([!-/:-@\[-`{{-~])", rf"([!-&(-/:-@\[-`{{-~])({_LETTER})"]
+#: Atoms that a worker remembers at least before it stops taking more, the longest that is remembered, those given to the
+#: tokenizer in a run, and the bytes of text (one document at least) whose ids are held at once.
+CHUNKS, LONGEST, RUN, AT_ONCE = 800_000, 40, 4096, 1 << 23
 
 
 def default_path() -> str:
@@ -40,13 +46,20 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _spread(flat: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that lie in `flat` one behind the other, in the order `at`, and the length of each."""
+    n = lengths[at]
+    return flat[np.arange(n.sum()) + np.repeat((np.cumsum(lengths) - lengths)[at] - (np.cumsum(n) - n), n)], n
+
+
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """text -> ids of the tokenizer in the file, as little-endian bytes, without special tokens added.
+def batch_encoder(path: str):
+    """texts (an Arrow array without nulls) -> the ids of each, those of the tokenizer in the file without special tokens added.
 
-    A text is cut at single spaces between words, where byte-level pre-tokenizing always cuts, and the ids of the chunks are
-    those of the text. Chunks repeat, so each worker remembers those up to LONGEST characters, the first CHUNKS or so. A
-    tokenizer that does not cut so, or normalises, is given whole texts.
+    Texts are cut into chunks before single spaces and line ends and chunks into atoms where letters meet punctuation.
+    Byte-level pre-tokenizing cuts there too, so the ids of the atoms are those of the text. Each distinct chunk and atom of a
+    call is handled once, and each worker remembers atoms up to LONGEST characters, the first CHUNKS or so. Texts that hold
+    the marks used here or an added token's name are given whole to the tokenizer, and so are all if it does not cut so.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
     from tokenizers import Tokenizer
@@ -54,51 +67,117 @@ def encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     with open(path) as f:
         how = json.load(f)
-    pre = how["pre_tokenizer"] or {}
+    pre, added = how["pre_tokenizer"] or {}, how["added_tokens"]
     cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not how["normalizer"]
-    cuts = cuts and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in how["added_tokens"])
-    known: dict[str, bytes] = {}  # by chunk without the space before it; by chunk with one, where the text begins without
-
-    def ids(chunks: list[str]) -> list[bytes]:
-        """Of each chunk, from one run over all of them: a token is the chunk's in which it ends."""
-        e = tokenizer.encode("".join(chunks), add_special_tokens=False)
-        ends, starts = np.fromiter((b for _, b in e.offsets), np.int64, len(e.ids)), np.cumsum([len(c) for c in chunks])
-        cut = [0, *(4 * np.searchsorted(ends, starts[:-1], "right")).tolist(), 4 * len(e.ids)]
-        data = np.asarray(e.ids, dtype="<u4").tobytes()
-        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-
-    def encode(text: str) -> bytes:
-        if not cuts:
-            return ids([text])[0]
-        first, *rest = _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
-        chunks = [" " + first, *rest]
-        out = list(map(known.get, chunks))
-        if None in out:
-            fresh = list(dict.fromkeys(c for c, x in zip(chunks, out, strict=True) if x is None))
-            begins = out[0] is None
-            given = dict(zip(fresh, ids([first, *[" " + c for c in fresh[1:]]] if begins else [" " + c for c in fresh]), strict=True))
-            out = [given[c] if x is None else x for c, x in zip(chunks, out, strict=True)]
+    cuts = cuts and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    begins, mark = "\0", "\1"
+    names = [begins, mark, *(t["content"] for t in added)]
+    known: dict[str, bytes] = {}
+
+    def run(given: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+
+    def atom_ids(atoms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = list(map(known.get, atoms))
+        fresh = [a for a, x in zip(atoms, out, strict=True) if x is None]
+        if fresh:
+            given = {}
+            for i in range(0, len(fresh), RUN):  # what the tokenizer returns of an atom is far larger than its ids
+                got = [e.ids for e in tokenizer.encode_batch_fast(fresh[i : i + RUN], add_special_tokens=False)]
+                data, ends = np.fromiter(chain.from_iterable(got), "<u4").tobytes(), [0, *accumulate(4 * len(g) for g in got)]
+                given.update(zip(fresh[i : i + RUN], [data[a:b] for a, b in pairwise(ends)], strict=True))
+            out = [given[a] if x is None else x for a, x in zip(atoms, out, strict=True)]
             if len(known) < CHUNKS:
-                known.update((c, x) for c, x in given.items() if len(c) < LONGEST)
-        return b"".join(out)
+                known.update((a, x) for a, x in given.items() if len(a) < LONGEST)
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
+
+    def text_ids(chunks: pa.Array, at: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+        """Of texts whose chunks are those `at`, a text's from its `begin`."""
+        for pattern in _ATOMS:
+            chunks = pc.replace_substring_regex(chunks, pattern, rf"\1{mark}\2")
+        lists = pc.split_pattern(chunks, mark)
+        coded = lists.flatten().dictionary_encode()
+        flat, n = _spread(*atom_ids(coded.dictionary.to_pylist()), coded.indices.to_numpy())
+        flat, n = _spread(flat, np.add.reduceat(n, lists.offsets.to_numpy()[:-1]), at)
+        return np.split(flat, np.cumsum(np.add.reduceat(n, begin))[:-1])
+
+    def plain(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether white space stands beside each text's cuts, where it may belong to either side; the ids of those without."""
+        lists = pc.split_pattern(pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \n"), begins), " ")
+        coded, begin = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()[:-1]
+        at, split = coded.indices.to_numpy(), coded.dictionary
+        first = pc.starts_with(split, begins)
+        chunks = pc.if_else(first, pc.replace_substring(split, begins, ""), pc.if_else(pc.starts_with(split, "\n"), split, pc.binary_join_element_wise("", split, " ")))
+        space = lambda *of: pc.utf8_is_space(pc.utf8_slice_codeunits(chunks, *of))
+        odd = pc.or_(pc.or_(pc.equal(chunks, ""), space(-1)), pc.or_(space(1, 2), pc.and_(first, space(0, 1))))
+        beside = np.logical_or.reduceat(odd.to_numpy(zero_copy_only=False)[at], begin)
+        n = np.diff(np.append(begin, len(at)))
+        if beside.all():
+            return beside, []
+        at, n = at[np.repeat(~beside, n)], n[~beside]
+        used = np.zeros(len(chunks), dtype=bool)
+        used[at] = True
+        return beside, text_ids(chunks.filter(pa.array(used)), (np.cumsum(used) - 1)[at], np.cumsum(n) - n)
+
+    def encode(texts: pa.Array) -> list[np.ndarray]:
+        if not cuts:
+            return run(texts.to_pylist())
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+
+        def put(places: np.ndarray, ids: list[np.ndarray]) -> None:
+            for i, x in zip(places.tolist(), ids, strict=True):
+                out[i] = x
+
+        whole = np.logical_or.reduce([pc.match_substring(texts, x).to_numpy(zero_copy_only=False) for x in names])
+        put(np.flatnonzero(whole), run(texts.filter(pa.array(whole)).to_pylist()))
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            texts = texts.take(pa.array(rest))
+            beside, ids = plain(texts)
+            put(rest[~beside], ids)
+            if beside.any():
+                lists = pa.array([_CUT.split(t) for t in texts.filter(pa.array(beside)).to_pylist()], pa.list_(pa.string()))
+                coded = lists.flatten().dictionary_encode()
+                put(rest[beside], text_ids(coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()[:-1]))
+        return out
 
     return encode
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str):
+    """text -> its ids as little-endian bytes, by `batch_encoder`."""
+    encode = batch_encoder.__wrapped__(path)
+    return lambda text: encode(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _slices(batch: pa.RecordBatch):
+    """Runs of rows whose texts have AT_ONCE bytes or a little more, a longer text in a run of its own or at the end of one."""
+    sizes, begin, held = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= AT_ONCE:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: a row for each piece of each document."""
 
     def cut(batches):
-        encode = encoder(path)
+        encode, end = batch_encoder(path), np.array([END_ID], dtype="<u4")
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc_id, text in zip(ids, batch.column(1), strict=True):
-                tokens = np.frombuffer(encode(text.as_py()) + END_ID.to_bytes(4, "little"), dtype="<u4")
-                for at in range(0, len(tokens), sequence):
-                    part = tokens[at : at + sequence]
-                    for to, value in zip(out, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(tokens)), strict=True):
-                        to.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for some in _slices(batch):
+                out = ([], [], [], [], [])
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
+                    tokens = np.append(ids, end)
+                    for at in range(0, len(tokens), sequence):
+                        part = tokens[at : at + sequence]
+                        for to, value in zip(out, (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(tokens)), strict=True):
+                            to.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return narrow.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -49,6 +49,21 @@ def test_ids_of_chunks_equal_those_of_whole_texts(monkeypatch):
         assert np.frombuffer(fast(t), "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_of_many_texts_equal_those_of_each():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.packing import batch_encoder
+
+    encode, exact = batch_encoder.__wrapped__(default_path()), Tokenizer.from_file(default_path())
+    rnd = random.Random(3)
+    words = ["it's", "'tis", "end.\nThe", "'", "x's.", "don't,", "a", "\n", "", "é%%%", "\0", "\1", "a\0b", "\nb", "<|endoftext|>", "1st", "\u3000", "\u00d7a", "[x]='s'", "知.a"]
+    for size in (0, 1, 2, 40, 400):
+        texts = ["".join(rnd.choice(words) + rnd.choice([" ", " ", "", "\n", "  "]) for _ in range(rnd.randrange(12))) for _ in range(size)]
+        got = encode(pa.array(texts, pa.string()))
+        assert [g.tolist() for g in got] == [exact.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_round_trip(spark):
     rnd = random.Random(4)
     words = ["the", "of", "naïve", "9", "\n", "知", "x" * 40]
