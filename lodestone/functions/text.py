@@ -72,8 +72,9 @@ def clean(text: Column) -> Column:
     t = F.regexp_replace(text, r"\r\n?", "\n")
     t = F.regexp_replace(t, INVISIBLE, "")
     t = F.regexp_replace(t, SPACE_LIKE, " ")
-    t = F.regexp_replace(t, r"[ \t]+(?=\n)", "")
-    return F.regexp_replace(t, r"^[\s\x{85}\x{2028}\x{2029}]+|[\s\x{85}\x{2028}\x{2029}]+$", "")
+    # a run is tried from its begin only and never given back, so that long ones take linear time
+    t = F.regexp_replace(t, r"(?<![ \t])[ \t]++(?=\n)", "")
+    return F.regexp_replace(t, r"^[\s\x{85}\x{2028}\x{2029}]++|(?<![\s\x{85}\x{2028}\x{2029}])[\s\x{85}\x{2028}\x{2029}]++$", "")
 
 
 def language(text: Column) -> Column:

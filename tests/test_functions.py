@@ -32,6 +32,12 @@ def test_clean_is_idempotent(spark):
     assert once == "a b\nc\n\nd\n```\n  x\n```" and one(spark, once, T.clean(F.col("t"))) == once
 
 
+def test_clean_long_runs_of_white_space(spark):
+    run = " \t" * 150_000
+    assert one(spark, f"{run}a{run}b{run}\nc{run}\n{run}", T.clean(F.col("t"))) == f"a{run}b\nc"
+    assert one(spark, run, T.clean(F.col("t"))) == ""
+
+
 def test_dates_titles_and_numbers(spark):
     assert one(spark, "于2024年3月5日发布", T.iso_date(F.col("t"))) == "2024-03-05"
     assert one(spark, "2023-13", T.iso_date(F.col("t"))) == "2023-01-01"
