@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op13_bpe
+from .codes import OP12_SQL, op12_vector_codes
 from .embeddings import OP5_SQL, op5_embeddings
 from .media import op4_media
 from .mixing import OP10_SQL, op10_mixing
@@ -10,6 +12,7 @@ from .packing import op9_packing
 from .quality import op2_quality
 from .secrets import OP1_SQL, op1_secret_scan
 from .sharding import op6_sharding
+from .spelling import OP11_SQL, op11_spelling
 from .suffixes import op3_suffix_dedup
 from .urls import OP7_SQL, op7_url_filters
 
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_spelling": op11_spelling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_bpe": op13_bpe,
 }
-ORACLES: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op5_embeddings": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_minhash": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_secret_scan": OP1_SQL, "op5_embeddings": OP5_SQL, "op7_url_filters": OP7_SQL, "op8_minhash": OP8_SQL, "op10_mixing": OP10_SQL, "op11_spelling": OP11_SQL, "op12_vector_codes": OP12_SQL}
