@@ -38,8 +38,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, key: str = "do
     tf = hits.groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+    return bm25_of(scored, F.col("n_docs"), F.col("avgdl"), k, key)
+
+
+def bm25_of(scored: DataFrame, n_docs: Column, avgdl: Column, k: int | None, key: str = "doc_id") -> DataFrame:
+    """The ranking of postings (query_id, key, term, tf, doc_len) with the df of their terms."""
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avgdl))
     total = scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return ranked(total, ["query_id"], [F.desc("score"), F.col(key)], k)
 

@@ -13,7 +13,7 @@ from ..operators import security as S
 from ..sources import files as I
 from ..sources import tables as B
 from ..streaming import streams as K
-from .common import load
+from .common import load, term_index
 from .retrieval_queries import ASKED_SQL, BM25_SQL, asked
 
 QUERIES: dict = {}
@@ -67,17 +67,21 @@ def s9_upload_plan(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE n_chars END AS n FROM documents UNION ALL SELECT -doc_id - 1, 1 FROM documents WHERE doc_id % 3 = 0")
 def s11_upsert(spark, sf):
-    """Upsert by key."""
+    """Upsert by key."""
     old = load(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("n"))
     third = old.where("doc_id % 3 = 0")
     new = third.select("doc_id", F.lit(1).cast("long").alias("n")).unionByName(third.select((-F.col("doc_id") - 1).alias("doc_id"), F.lit(1).cast("long").alias("n")))
     return B.upsert(old, new, ["doc_id"])
 
 
-@query()
+POINT = ["doc_id", "concat(source, '.txt')", "CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 END", "CASE WHEN doc_id % 4 > 0 THEN concat('s', doc_id % 4) END", "'h'", "doc_id % 5", "text", "CASE WHEN doc_id % 2 = 0 THEN 'image' ELSE 'text' END", "CASE WHEN doc_id % 2 = 0 THEN concat('i', doc_id) END"]
+_SHOWN = ", ".join(f"coalesce(CAST({POINT[i]} AS VARCHAR), '{'' if i == 8 else 'None'}')" for i in (0, 1, 2, 3, 4, 5, 7, 8, 6))
+
+
+@query(f"SELECT doc_id, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', substr('89ab', CAST('0x' || h[17] AS INT) % 4 + 1, 1), h[18:20], '-', h[21:32]) AS point_id FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat_ws('::', {_SHOWN}))) AS h FROM documents)")
 def s13_point_ids(spark, sf):
-    """Deterministic UUIDv5 of each document."""
-    return load(spark, sf, "documents").select("doc_id", B.point_id(F.col("source"), F.col("doc_id"), F.lit(0)).alias("point_id"))
+    """Deterministic UUIDv5 of each document from all nine fields, some of them null."""
+    return load(spark, sf, "documents").select("doc_id", B.point_id(*map(F.expr, POINT)).alias("point_id"))
 
 
 @query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents WHERE lang = 'en') WHERE n <= 25")
@@ -184,7 +188,7 @@ def x26_citations(spark, sf):
 def x27_evidence_spans(spark, sf):
     """Sentences of the best documents that support each query."""
     docs = load(spark, sf, "documents")
-    hits = R.bm25(docs, asked(spark), 5).join(docs.select("doc_id", "text"), "doc_id").withColumn("n", F.col("rank"))
+    hits = term_index(spark, sf).bm25(asked(spark), 5).join(docs.select("doc_id", "text"), "doc_id").withColumn("n", F.col("rank"))
     return V.evidence_spans(asked(spark), hits.select("query_id", "n", "text"))
 
 
@@ -192,7 +196,7 @@ def x27_evidence_spans(spark, sf):
 def x30_context(spark, sf):
     """Context of each query within its budgets."""
     docs = load(spark, sf, "documents")
-    hits = R.bm25(docs, asked(spark), 8).join(docs.select("doc_id", "text", F.col("source").alias("filename")), "doc_id").join(asked(spark), "query_id")
+    hits = term_index(spark, sf).bm25(asked(spark), 8).join(docs.select("doc_id", "text", F.col("source").alias("filename")), "doc_id").join(asked(spark), "query_id")
     return V.build_context(hits)
 
 

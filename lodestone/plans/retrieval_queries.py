@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import retrieval as R
-from .common import load
+from ..operators.term_index import TermIndex
+from .common import load, shared_dir, term_index
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,13 +59,30 @@ kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, score, rank FROM bm WHERE rank <= 10")
 def k4_bm25_top10(spark, sf):
     """Best ten documents a query by Okapi BM25."""
-    return R.bm25(load(spark, sf, "documents"), asked(spark))
+    return term_index(spark, sf).bm25(asked(spark))
 
 
 @query(f"WITH {COVER_SQL} SELECT query_id, doc_id, covered, rank FROM tr WHERE rank <= 10")
 def k5_term_rank(spark, sf):
     """Best ten documents a query by covered query terms."""
-    return R.term_rank(load(spark, sf, "documents"), asked(spark))
+    return term_index(spark, sf).term_rank(asked(spark))
+
+
+@query(f"WITH {COVER_SQL.replace('FROM documents)', 'FROM documents WHERE doc_id % 7 < 5)')} SELECT query_id, doc_id, covered, rank FROM tr WHERE rank <= 10")
+def j1_completed_terms(spark, sf):
+    """The term leg joined with the documents' state; those that are not completed are never ranked."""
+    state = load(spark, sf, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 7 < 5 THEN 'COMPLETED' ELSE 'PROCESSING' END AS status")
+    return term_index(spark, sf).term_rank(asked(spark), within=state.where("status = 'COMPLETED'"))
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format("CASE doc_id % 10 WHEN 3 THEN concat('replaced text ', doc_id, ' of ', source) ELSE text END")}) AS term FROM documents WHERE doc_id % 10 <> 4) GROUP BY ALL) GROUP BY term")
+def s10_replaced_terms(spark, sf):
+    """A stored index after a tenth of its documents are replaced and another tenth deleted."""
+    docs = load(spark, sf, "documents")
+    index = TermIndex.build(docs, f"{shared_dir(spark)}/replaced-{uuid.uuid4().hex}")
+    index.replace(docs.where("doc_id % 10 = 3").selectExpr("doc_id", "concat('replaced text ', doc_id, ' of ', source) AS text"))
+    index.delete(docs.where("doc_id % 10 = 4").select("doc_id"))
+    return index.all().where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, array_to_string(list_distinct_sorted, ' ') AS head FROM (SELECT doc_id, t, list_slice(list_sort(list_distinct(t)), 1, 5) AS list_distinct_sorted FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents))")
@@ -75,15 +95,15 @@ def k1_tokens(spark, sf):
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY term")
 def g13_document_frequency(spark, sf):
     """Document and collection frequency of every term."""
-    p = R.postings(load(spark, sf, "documents"))
+    p = term_index(spark, sf).all().where("tf > 0")
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {BM25_SQL}, {COVER_SQL}, legs AS (SELECT query_id, doc_id, rank, 1.0 AS w FROM bm WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 0.5 FROM tr WHERE rank <= 50), f AS (SELECT query_id, doc_id, round(sum(w / (60 + rank)), 9) AS rrf FROM legs GROUP BY query_id, doc_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM f) WHERE rank <= 20")
 def k6_rrf(spark, sf):
     """Fusion of the BM25 leg with a half-weighted term-coverage leg."""
-    docs, q = load(spark, sf, "documents"), asked(spark)
-    legs = R.bm25(docs, q, 50).select("query_id", "doc_id", "rank", F.lit(1.0).alias("weight")).unionByName(R.term_rank(docs, q, 50).select("query_id", "doc_id", "rank", F.lit(0.5).alias("weight")))
+    index, q = term_index(spark, sf), asked(spark)
+    legs = index.bm25(q, 50).select("query_id", "doc_id", "rank", F.lit(1.0).alias("weight")).unionByName(index.term_rank(q, 50).select("query_id", "doc_id", "rank", F.lit(0.5).alias("weight")))
     return R.rrf(legs, ["doc_id"], 20)
 
 
@@ -158,7 +178,7 @@ def w6_exact_dedup(spark, sf):
 def r2_heuristic_rerank(spark, sf):
     """R2: token coverage with the scaled BM25 score as prior."""
     docs = load(spark, sf, "documents")
-    hits = R.bm25(docs, asked(spark), 20).join(docs.select("doc_id", "text"), "doc_id").join(asked(spark), "query_id").withColumn("score", F.col("score") / 10)
+    hits = term_index(spark, sf).bm25(asked(spark), 20).join(docs.select("doc_id", "text"), "doc_id").join(asked(spark), "query_id").withColumn("score", F.col("score") / 10)
     return R.heuristic_rerank(hits).select("query_id", "doc_id", F.round("rerank", 6).alias("rerank"))
 
 
@@ -171,8 +191,8 @@ def r3_sigmoid(spark, sf):
 @query(f"WITH {BM25_SQL}, {COVER_SQL} SELECT * FROM (SELECT query_id, key, rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, key) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM (SELECT query_id, doc_id AS key, coalesce(score, 0) / 10 AS score, tr.rank AS kw_rank, doc_id % 97 = 0 AS is_graph, doc_id % 101 = 0 AS is_figure, round(coalesce(1 / (60.0 + bm.rank), 0) + coalesce(1 / (60.0 + tr.rank), 0), 9) AS rrf FROM bm FULL JOIN tr USING (query_id, doc_id))) WHERE (score >= 0.3 AND round(top - score, 9) <= 0.05) OR coalesce(kw_rank <= 5, false) OR is_graph OR is_figure) WHERE rank <= 20")
 def r1_survivors(spark, sf):
     """Fused candidates kept by score, keyword rank, graph or figure reference; twenty at most by fusion."""
-    docs, q = load(spark, sf, "documents"), asked(spark)
-    a, b = R.bm25(docs, q, None), R.term_rank(docs, q, 1 << 30).withColumnRenamed("rank", "kw_rank")
+    index, q = term_index(spark, sf), asked(spark)
+    a, b = index.bm25(q, None), index.term_rank(q, 1 << 30).withColumnRenamed("rank", "kw_rank")
     rows = a.join(b, ["query_id", "doc_id"], "full").select(
         "query_id", F.col("doc_id").alias("key"), (F.coalesce("score", F.lit(0.0)) / 10).alias("score"), "kw_rank", (F.col("doc_id") % 97 == 0).alias("is_graph"), (F.col("doc_id") % 101 == 0).alias("is_figure"),
         F.round(F.coalesce(1 / (60 + F.col("rank")), F.lit(0.0)) + F.coalesce(1 / (60 + F.col("kw_rank")), F.lit(0.0)), 9).alias("rrf"),
@@ -214,7 +234,7 @@ def x21_query_coverage(spark, sf):
 def x22_evidence_gate(spark, sf):
     """Whether each query's three best documents are evidence enough, and why not."""
     docs = load(spark, sf, "documents")
-    hits = R.bm25(docs, asked(spark), 3).join(docs.select("doc_id", "text"), "doc_id").withColumn("score", F.col("score") / 10)
+    hits = term_index(spark, sf).bm25(asked(spark), 3).join(docs.select("doc_id", "text"), "doc_id").withColumn("score", F.col("score") / 10)
     return E.evidence_gate(asked(spark), hits)
 
 

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed value: the namespace of point ids.
 NAMESPACE = uuid.NAMESPACE_DNS
@@ -42,14 +40,13 @@ def delete(rows: DataFrame, ids: DataFrame, key: str = "document_id") -> DataFra
     return rows.join(ids.select(key), key, "left_anti")
 
 
-@F.pandas_udf(T.StringType())
-def _uuid5(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: None if s is None else str(uuid.uuid5(NAMESPACE, s)))
-
-
 def point_id(document_id: Column, filename: Column, page: Column, section: Column, heading: Column, index: Column, text: Column, kind: Column | None = None, image_id: Column | None = None) -> Column:
     """UUIDv5 of nine fields joined by ::, the text last. A null field is written None, a null image_id as nothing; kind is text
     unless given."""
     shown = [F.coalesce(c.cast("string"), F.lit("None")) for c in (document_id, filename, page, section, heading, index, F.lit("text") if kind is None else kind)]
     image = F.lit("") if image_id is None else F.coalesce(image_id.cast("string"), F.lit(""))
-    return _uuid5(F.concat_ws("::", *shown, image, F.coalesce(text, F.lit("None"))))
+    name = F.concat_ws("::", *shown, image, F.coalesce(text, F.lit("None")))
+    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE.hex)), F.encode(name, "UTF-8")))
+    part = lambda at, n: F.substring(h, at, n)
+    variant = F.substr(F.lit("89ab89ab89ab89ab"), F.conv(part(17, 1), 16, 10).cast("int") + 1, F.lit(1))
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
