@@ -9,6 +9,7 @@ n bytes takes n log n steps whatever it holds. Each worker remembers the ids of
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import islice
 
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-#: The pieces of byte-level pre-tokenizing, and letters, digits and marks (first and last code points) that the `regex` module knows but
-#: the tokenizers library does not, which stand among "other" characters there.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and digits (first and last code points) that the `regex` module knows but the tokenizers library does not,
+#: which stand among "other" characters there.
 YOUNG = (
     "558-558 58b-58c 88f-88f c5c-c5c cdc-cdc 208f-208f 209d-209f a7ce-a7cf a7d2-a7d2 a7d4-a7d4 a7dd-a7dd a7e2-a7e2 a7f1-a7f1 "
     "ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a-11b0a 11db0-11ddb 11de0-11de9 11df1-11df1 1246f-1246f "
@@ -30,6 +30,7 @@ YOUNG = (
     "191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 "
     "1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 #: Pieces that a worker remembers, the longest of them, and the pieces of a text that are held at once.
 KNOWN, LONGEST, AT_ONCE = 400_000, 40, 1 << 17
 
@@ -47,6 +48,28 @@ def byte_marks() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[re.Pattern, regex.Pattern]:
+    """Patterns of the pieces of byte-level pre-tokenizing, with YOUNG left out of the letters and digits: for texts of the basic plane
+    and for all. The first names the classes by their ranges, for which the quicker of the two modules has a table."""
+    young = [tuple(int(x, 16) for x in r.split("-")) for r in YOUNG.split()]
+    text = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in young)
+    wide = {p: rf"[{p}--[{text}]]" for p in (r"\p{L}", r"\p{N}")}
+    basic = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def ranges(pattern: str) -> str:
+        points = np.array([ord(c) for c in regex.findall(pattern, basic, regex.V1)])
+        cuts = np.flatnonzero(np.diff(points) > 1)
+        return "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in zip(points[[0, *(cuts + 1)]].tolist(), points[[*cuts, -1]].tolist(), strict=True))
+
+    def written(letters: str, digits: str, space: str, other: str) -> str:
+        return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letters}+| ?{digits}+| ?{other}+|{space}+(?!{other}|{letters}|{digits})|{space}+"
+
+    letters, digits, space = (ranges(p) for p in (*wide.values(), r"\s"))
+    quick = re.compile(written(f"[{letters}]", f"[{digits}]", f"[{space}]", f"[^{space}{letters}{digits}]"))
+    return quick, regex.compile(written(*wide.values(), r"\s", rf"[^\s{wide[r'\p{L}']}{wide[r'\p{N}']}]"), regex.V1)
+
+
 class SegmentTree:
     """The least of n values and its place, with point updates. Values are non-negative integers or None, ties go left."""
 
@@ -67,17 +90,21 @@ class SegmentTree:
         top = self.tree[1]
         return None if top == self.none else divmod(top, self.n)
 
-    def put(self, i: int, value: int | None) -> None:
-        tree, at = self.tree, self.size + i
-        tree[at] = self.none if value is None else value * self.n + i
-        at >>= 1
-        while at:
-            a, b = tree[2 * at], tree[2 * at + 1]
-            low = a if a < b else b
-            if tree[at] == low:
-                return
-            tree[at] = low
+    def put(self, *changes: tuple[int, int | None]) -> None:
+        """Sets the values of places, each in logarithmic time."""
+        tree, size, n = self.tree, self.size, self.n
+        for i, value in changes:
+            at = size + i
+            tree[at] = self.none if value is None else value * n + i
             at >>= 1
+            while at:
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
+                at >>= 1
 
 
 class Codec:
@@ -106,10 +133,8 @@ class Codec:
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if added else None
-        young = "".join(rf"\U{int(a, 16):08x}-\U{int(b, 16):08x}" for a, b in (x.split("-") for x in YOUNG.split()))
-        self.pieces, self.young = regex.compile(PIECES), regex.compile(f"[{young}]")
-        kept = lambda p: rf"[{p}--[{young}]]"
-        self.older = regex.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{kept(r'\p{L}')}{kept(r'\p{N}')}]").replace(r" ?\p{L}+", rf" ?{kept(r'\p{L}')}+").replace(r" ?\p{N}+", rf" ?{kept(r'\p{N}')}+"), regex.V1)
+        self.four = [i.to_bytes(4, "little") for i in range(width)]
+        self.pieces, self.wide = _patterns()
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A byte that the vocabulary lacks has none."""
@@ -124,18 +149,15 @@ class Codec:
         while (top := tree.least()) is not None:
             r, i = top
             j = after[i]
-            k = after[j] if j < n else n
+            k = after[i] = after[j]
             sym[i], sym[j] = merged[r], -1
-            after[i] = k
-            if j < n - 1:
-                tree.put(j, None)
+            changes = [(i, rank(sym[i] * width + sym[k]) if k < n else None)]
             if k < n:
                 before[k] = i
-                tree.put(i, rank(sym[i] * width + sym[k]))
-            else:
-                tree.put(i, None)
+                changes.append((j, None))
             if (p := before[i]) >= 0:
-                tree.put(p, rank(sym[p] * width + sym[i]))
+                changes.append((p, rank(sym[p] * width + sym[i])))
+            tree.put(*changes)
         return [s for s in sym if s >= 0]
 
     def parts(self, text: str):
@@ -143,7 +165,7 @@ class Codec:
         at = 0
         for m in [*(self.cut.finditer(text) if self.cut else ()), None]:
             own = text[at : m.start() if m else None] if at or m else text
-            find = self.older if not own.isascii() and self.young.search(own) else self.pieces
+            find = self.pieces if own.isascii() or not _ASTRAL.search(own) else self.wide
             if len(own) <= AT_ONCE:
                 yield find.findall(own)
             else:
@@ -162,7 +184,7 @@ class _Known(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.codec.merge(piece.encode()), dtype="<u4").tobytes()
+        out = b"".join(map(self.codec.four.__getitem__, self.codec.merge(piece.encode())))
         if len(piece) < LONGEST:
             if len(self) >= KNOWN:
                 self.clear()

@@ -30,7 +30,7 @@ def test_segment_tree_against_a_scan():
             assert tree.least() == (min(held) if held else None)
             i = rnd.randrange(n)
             values[i] = rnd.choice([None, *range(5)])
-            tree.put(i, values[i])
+            tree.put((i, values[i]))
 
 
 def test_ids_and_texts_equal_the_librarys(exact):
