@@ -160,21 +160,40 @@ def drift_ok(original: Column, changed: Column, least: float = 0.3) -> Column:
     return F.when(F.trim(F.coalesce(changed, F.lit(""))) == "", False).when(F.size(a) == 0, True).otherwise(F.coalesce(kept, F.lit(False)))
 
 
-def trust(text: Column, is_image: Column, engine: Column, confidence: Column, review: Column, quality_ok: Column, ocr_ok: Column) -> Column:
-    """Product of penalties for doubtful evidence, within 0.05 and 1."""
-    conf = F.coalesce(confidence, F.lit(0.0))
-    image = (
-        F.when(F.coalesce(engine, F.lit("")) == "", 0.85).otherwise(1.0)
-        * F.when(conf > 0, 0.5 + 0.5 * F.least(conf, F.lit(1.0))).otherwise(1.0)
-        * F.when(F.coalesce(ocr_ok, F.lit(True)), 1.0).otherwise(0.75)
-    )
-    score = (
-        F.when(F.coalesce(review, F.lit(False)), 0.45).otherwise(1.0) * F.when(F.coalesce(quality_ok, F.lit(True)), 1.0).otherwise(0.70)
-        * F.when(is_image, image).otherwise(1.0) * F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < 20, 0.60).otherwise(1.0)
+#: Why evidence is doubted.
+DOUBTS = {
+    "review": "解析期已标记「需人工复核」，内容准确性未确认",
+    "quality": "解析质检未通过：",
+    "engine": "未记录产出引擎（疑似降级路径或旧索引）",
+    "confidence": "解析置信度偏低（%.2f）",
+    "ocr": "OCR 行置信度不达标，可能读错数字或字母",
+    "short": "正文过短（%d 字），不足以支撑结论",
+}
+
+
+def trust(text: Column, is_image: Column, engine: Column, confidence: Column, review: Column, quality_ok: Column, ocr_ok: Column, quality_reasons: Column | None = None) -> Column:
+    """struct(score, reasons): the product of penalties for doubtful evidence, within 0.05 and 1, and what was found wanting. A
+    confidence of 0.6 or more lowers the score without a reason; of the failed checks' reasons the first three count."""
+    no, conf = F.lit(False), F.coalesce(confidence, F.lit(0.0))
+    chars = F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c\u3000\xa0")))
+    reviewed, failed, image = F.coalesce(review, no), F.coalesce(~quality_ok, no), F.coalesce(is_image, no)
+    unnamed, misread = image & (F.coalesce(engine, F.lit("")) == ""), image & F.coalesce(~ocr_ok, no)
+    factor = lambda holds, by: F.when(holds, by).otherwise(1.0)
+    sure = F.when(image & (conf > 0), 0.5 + 0.5 * F.least(conf, F.lit(1.0))).otherwise(1.0)
+    score = factor(reviewed, 0.45) * factor(failed, 0.70) * factor(unnamed, 0.85) * sure * factor(misread, 0.75) * factor(chars < 20, 0.60)
+    said = F.lit(None).cast("array<string>") if quality_reasons is None else quality_reasons
+    checks = F.transform(F.filter(F.slice(F.coalesce(said, F.array().cast("array<string>")), 1, 3), lambda r: F.trim(r) != ""), lambda r: F.concat(F.lit(DOUBTS["quality"]), r))
+    why = F.concat(
+        F.array(F.when(reviewed, DOUBTS["review"])), F.when(failed, checks).otherwise(F.array().cast("array<string>")),
+        F.array(
+            F.when(unnamed, DOUBTS["engine"]), F.when(image & (conf > 0) & (conf < 0.6), F.format_string(DOUBTS["confidence"], conf.cast("double"))),
+            F.when(misread, DOUBTS["ocr"]), F.when(chars < 20, F.format_string(DOUBTS["short"], chars)),
+        ),
     )
-    return F.greatest(F.lit(0.05), F.least(F.lit(1.0), score))
+    return F.struct(F.greatest(F.lit(0.05), F.least(F.lit(1.0), score)).alias("score"), F.array_compact(why).alias("reasons"))
 
 
 def trust_weighted(score: Column, trusted: Column, weight: float = 0.15) -> Column:
+    """The score by its trust (a struct of `trust`), lowered only where there is a reason to."""
     w = max(0.0, min(1.0, weight))
-    return score * (1 - w + w * F.greatest(F.lit(0.0), F.least(F.lit(1.0), trusted)))
+    return F.when(F.size(trusted["reasons"]) > 0, score * (1 - w + w * F.greatest(F.lit(0.0), F.least(F.lit(1.0), trusted["score"])))).otherwise(score)

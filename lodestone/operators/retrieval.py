@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,41 +66,65 @@ def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int | None =
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def distance(a: Column, b: Column, kind: str = "cosine") -> Column:
-    """Similarity by cosine or dot, or euclid and manhattan distances, in double precision."""
-    if kind == "cosine":
-        return cosine(a, b)
-    f = {
-        "dot": lambda p, q: p.cast("double") * q.cast("double"),
-        "euclid": lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2)),
-        "manhattan": lambda p, q: F.abs(p.cast("double") - q.cast("double")),
-    }[kind]
-    total = F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, v: s + v)
-    return F.sqrt(total) if kind == "euclid" else total
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str = "cosine", key: str = "vec_id", most_queries: int = 10_000) -> DataFrame:
-    """query_id, key, score, rank: exact nearest vectors of queries (query_id, q), a query's own row left out.
-
-    A stated query set against all rows: the queries, counted and at most `most_queries` at a time, are broadcast as one array;
-    each block of vectors meets them in place and keeps its best k a query, which then meet in one small window a query.
+def _best_of_block(queries: np.ndarray, ids: np.ndarray, k: int, kind: str):
+    """Batches of (key, vector) to each query's best k rows among them: query_id, key, score."""
+    norms = np.sqrt((queries * queries).sum(axis=1)) if kind == "cosine" else None
+    sign = -1 if kind in ("cosine", "dot") else 1
+
+    def scores(block: np.ndarray) -> np.ndarray:
+        if kind in ("euclid", "manhattan"):
+            apart = (block[:, None, :] - q for q in queries[:, None, :])
+            return np.stack([np.sqrt((d * d).sum(axis=2))[:, 0] if kind == "euclid" else np.abs(d).sum(axis=2)[:, 0] for d in apart], axis=1)
+        out = block @ queries.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return out / (np.sqrt((block * block).sum(axis=1))[:, None] * norms[None, :]) if kind == "cosine" else out
+
+    def run(batches):
+        for batch in batches:
+            at = np.flatnonzero(pc.equal(pc.list_value_length(batch.column(1)), queries.shape[1]).fill_null(False).to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            some = batch.take(pa.array(at))
+            block = np.asarray(some.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(at), -1)
+            keys, found = some.column(0), np.floor(scores(block) * 1e6 + 0.5) / 1e6
+            order = np.asarray(pc.rank(keys, sort_keys="ascending", tiebreaker="first"))
+            of, rows = [], []
+            for q in range(len(queries)):
+                s = sign * found[:, q]
+                held = np.flatnonzero(np.isfinite(s) & (s <= np.partition(s, k - 1)[k - 1]) if len(s) > k else np.isfinite(s))
+                held = held[np.lexsort((order[held], s[held]))][:k]
+                of.append(np.full(len(held), q))
+                rows.append(held)
+            of, rows = np.concatenate(of), np.concatenate(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[of], pa.int64()), keys.take(pa.array(rows)), pa.array(found[rows, of])], names=["query_at", "key", "score"])
+
+    return run
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, kind: str = "cosine", key: str = "vec_id", most_queries: int = 4096, but_own: bool = True) -> DataFrame:
+    """query_id, key, score, rank: exact nearest vectors of queries (query_id, q), by score to six places, then key.
+
+    A stated query set against all rows: at most `most_queries` queries at a time go to the tasks as one matrix. Each block of
+    vectors is multiplied by it, keeps its best k a query and sends only those on. With but_own a query's own row is left out.
+    Null vectors and those of another length than the query's have no score, nor has a zero vector by cosine.
     """
-    n = queries.count()
-    if n > most_queries:
-        parts = -(-n // most_queries)
-        dealt = queries.withColumn("p", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
-        out = None
-        for i in range(parts):
-            one = knn(vectors, dealt.where(F.col("p") == i).drop("p"), k, kind, key, most_queries * 2)
-            out = one if out is None else out.unionByName(one)
-        return out
-    pairs = vectors.select(key, F.col("embedding").alias("v")).join(F.broadcast(queries.select("query_id", "q")), F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, F.round(distance(F.col("v"), F.col("q"), kind), 6).alias("score"))
+    source = vectors.select(key, F.transform("embedding", lambda x: x.cast("double")).alias("v")).where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    kinds = dict(vectors.dtypes)[key], dict(queries.dtypes)["query_id"]
+    asked = queries.where("q IS NOT NULL").select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    found, parts = None, max(1, -(-asked.count() // most_queries))
+    dealt = asked.withColumn("p", F.pmod(F.xxhash64("query_id", "q"), F.lit(parts)))
+    for i in range(parts):
+        some = dealt.where(F.col("p") == i).collect()  # about most_queries rows
+        names = vectors.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(some)], f"query_at long, query_id {kinds[1]}")
+        for length in sorted({len(r["q"]) for r in some}):
+            ids = [n for n, r in enumerate(some) if len(r["q"]) == length]
+            matrix = np.array([some[n]["q"] for n in ids], dtype=np.float64).reshape(len(ids), length)
+            one = source.mapInArrow(_best_of_block(matrix, np.array(ids), k + but_own, kind), f"query_at long, key {kinds[0]}, score double").join(F.broadcast(names), "query_at")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kinds[1]}, {key} {kinds[0]}, score double, rank int")
+    scored = found.select("query_id", F.col("key").alias(key), "score")
+    scored = scored.where(F.col(key) != F.col("query_id")) if but_own else scored
     best = F.desc("score") if kind in ("cosine", "dot") else F.asc("score")
     return ranked(scored, ["query_id"], [best, F.col(key)], k)
 

@@ -12,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators.term_index import TermIndex
 from .common import load, shared_dir, term_index
+from .search import Corpus
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -238,13 +239,29 @@ def x22_evidence_gate(spark, sf):
     return E.evidence_gate(asked(spark), hits)
 
 
-@query("SELECT doc_id, round(greatest(0.05, least(1, f)), 6) AS trust, round((doc_id % 10) / 10.0 * (0.85 + 0.15 * greatest(0.05, least(1, f))), 6) AS weighted, greatest(0.05, least(1, f)) >= 0.3 AS kept FROM (SELECT doc_id, (CASE WHEN doc_id % 5 = 0 THEN 0.45 ELSE 1 END) * (CASE WHEN doc_id % 7 = 0 THEN 0.7 ELSE 1 END) * (CASE WHEN doc_id % 3 = 0 THEN (CASE WHEN doc_id % 2 = 0 THEN 0.85 ELSE 1 END) * (CASE WHEN doc_id % 11 > 0 THEN 0.5 + 0.5 * (doc_id % 11) / 10.0 ELSE 1 END) * (CASE WHEN doc_id % 13 = 0 THEN 0.75 ELSE 1 END) ELSE 1 END) * (CASE WHEN length(trim(coalesce(text, ''))) < 20 THEN 0.6 ELSE 1 END) AS f FROM documents)")
+#: Attributes of evidence derived from doc_id: column and expression for either engine.
+EVIDENCE = {
+    "is_image": "doc_id % 3 = 0", "engine": "CASE WHEN doc_id % 2 <> 0 THEN 'engine' END", "confidence": "(doc_id % 11) / 10.0E0", "review": "doc_id % 5 = 0",
+    "quality_ok": "doc_id % 7 <> 0", "ocr_ok": "doc_id % 13 <> 0", "quality_reasons": "CASE WHEN doc_id % 14 = 0 THEN LIST('blurred', ' ', concat('page ', doc_id), 'never shown') END",
+}
+TRUST_SQL = f"""
+ev AS (SELECT doc_id, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(12288) || chr(160))) AS chars, {", ".join(f"{e.replace('LIST(', 'list_value(')} AS {c}" for c, e in EVIDENCE.items())} FROM documents),
+tr_ust AS (SELECT doc_id, greatest(0.05, least(1, CASE WHEN review THEN 0.45E0 ELSE 1 END * CASE WHEN NOT quality_ok THEN 0.7E0 ELSE 1 END * CASE WHEN is_image THEN CASE WHEN engine IS NULL THEN 0.85E0 ELSE 1 END
+    * CASE WHEN confidence > 0 THEN 0.5E0 + 0.5E0 * least(confidence, 1) ELSE 1 END * CASE WHEN NOT ocr_ok THEN 0.75E0 ELSE 1 END ELSE 1 END * CASE WHEN chars < 20 THEN 0.6E0 ELSE 1 END)) AS trust,
+  concat_ws(';', CASE WHEN review THEN '{T.DOUBTS['review']}' END, CASE WHEN NOT quality_ok AND len(quality_reasons) > 0 THEN '{T.DOUBTS['quality']}blurred;{T.DOUBTS['quality']}page ' || doc_id END, CASE WHEN is_image AND engine IS NULL THEN '{T.DOUBTS['engine']}' END,
+    CASE WHEN is_image AND confidence > 0 AND confidence < 0.6 THEN printf('{T.DOUBTS['confidence']}', confidence) END, CASE WHEN is_image AND NOT ocr_ok THEN '{T.DOUBTS['ocr']}' END, CASE WHEN chars < 20 THEN printf('{T.DOUBTS['short']}', chars) END) AS reasons FROM ev)"""
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """docs with the columns of EVIDENCE."""
+    return docs.selectExpr("*", *[f"{e.replace('LIST(', 'array(')} AS {c}" for c, e in EVIDENCE.items()])
+
+
+@query(f"WITH {TRUST_SQL} SELECT doc_id, round(trust, 12) AS trust, reasons, round((doc_id % 10) / 10.0 * CASE WHEN reasons <> '' THEN 0.85 + 0.15 * trust ELSE 1 END, 12) AS weighted, trust >= 0.3 AS kept FROM tr_ust")
 def r4_trust(spark, sf):
-    """Trust factors, the weighted score and the 0.30 floor, over attributes derived from doc_id."""
-    d = F.col("doc_id")
-    t = T.trust(F.col("text"), d % 3 == 0, F.when(d % 2 != 0, "engine"), (d % 11) / 10.0, d % 5 == 0, d % 7 != 0, d % 13 != 0)
-    rows = load(spark, sf, "documents").withColumn("t", t)
-    return rows.select("doc_id", F.round("t", 6).alias("trust"), F.round(T.trust_weighted((d % 10) / 10.0, F.col("t")), 6).alias("weighted"), (F.col("t") >= 0.3).alias("kept"))
+    """Trust with its reasons, the score weighted where there are any, and the 0.30 floor, over attributes derived from doc_id."""
+    rows = evidence(load(spark, sf, "documents")).withColumn("t", T.trust(*(F.col(c) for c in ("text", *EVIDENCE))))
+    return rows.select("doc_id", F.round("t.score", 12).alias("trust"), F.array_join("t.reasons", ";").alias("reasons"), F.round(T.trust_weighted((F.col("doc_id") % 10) / 10.0, F.col("t")), 12).alias("weighted"), (F.col("t.score") >= 0.3).alias("kept"))
 
 
 @query(f"WITH p AS (SELECT a.doc_id, {TOK.format('a.text')} AS w, list_distinct({TOK.format('b.text')}) AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: list_contains(s, x))) / len(w) END, 6) AS support FROM p")
@@ -272,7 +289,50 @@ def x19_tables_and_lines(spark, sf):
 
 @query(f"WITH {BM25_SQL}, {COVER_SQL}, legs AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, rank FROM tr WHERE rank <= 40), f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM legs GROUP BY query_id, doc_id), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rn FROM f), rr AS (SELECT query_id, doc_id, text, 0.7 * len(list_intersect(list_distinct({TOK.format('query')}), list_distinct({TOK.format('text')}))) / len(list_distinct({TOK.format('query')})) + 0.3 * greatest(0, least(1, rrf * 30)) AS s FROM p JOIN documents USING (doc_id) JOIN {ASKED_SQL} USING (query_id) WHERE rn <= 40), dd AS (SELECT query_id, doc_id, s, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS k FROM rr), e AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(k, 1, 512) ORDER BY s DESC, doc_id) AS n FROM dd) SELECT * FROM (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM e WHERE n = 1 OR k = '') WHERE rank <= 10")
 def r6_search(spark, sf):
-    """The whole retrieval plan over an open corpus."""
-    from .search import Corpus
-
-    return Corpus(load(spark, sf, "documents"), open=True).search(asked(spark))
+    """Two keyword legs over an open corpus with a stored term index, fused and reranked."""
+    return Corpus(load(spark, sf, "documents"), term_index(spark, sf), open=True).search(asked(spark))
+
+
+#: Query sets: query, kind, order, text, and the row whose vector stands for the text's (there is no embedding model here).
+SETS = [
+    (1, "main", 0, "the of and", 0), (1, "extra", 0, "token secret", 10), (1, "extra", 1, "the of and", 20), (1, "hyde", 0, "token secret", 30), (1, "hyde", 1, "a secret is kept in a token", 40),
+    (2, "hyde", 0, "die antwort", 50), (2, "main", 0, "der die enlich", 60), (2, "extra", 0, "", 70), (3, "main", 0, "mail6 example com", 80), (3, "extra", 0, "erthe thing 26", None), (4, "main", 0, "zzzz nowhere", 90),
+]
+SETS_SQL = f"""
+qs AS (SELECT * FROM (VALUES {", ".join(f"({q}, '{kind}', {n}, '{t}', {'NULL' if v is None else v})" for q, kind, n, t, v in SETS)}) AS t(query_id, kind, n, query, vec) WHERE query <> ''),
+qk AS (SELECT * FROM qs QUALIFY row_number() OVER (PARTITION BY query_id, query ORDER BY CASE kind WHEN 'main' THEN 0 WHEN 'extra' THEN 1 ELSE 2 END, n) = 1)"""
+SETS_SCOPE = "wide"
+
+
+def _sets_sql() -> str:
+    from .acl_queries import OBJECTS_SQL, SCOPES, gate_sql
+
+    return rf"""WITH vis AS (SELECT doc_id FROM ({OBJECTS_SQL}) WHERE ({gate_sql(SCOPES[SETS_SCOPE])}) = 'ok'), {SETS_SQL}, {TRUST_SQL},
+vl AS (SELECT query_id, kind, n, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM qk JOIN embeddings q ON q.vec_id = qk.vec JOIN vis ON true JOIN embeddings v ON v.vec_id = vis.doc_id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind, n ORDER BY score DESC, doc_id) AS rank FROM vl QUALIFY rank <= 20),
+kt AS (SELECT DISTINCT query_id, kind, n, unnest({TOK.format('query')}) AS term FROM qk WHERE kind <> 'hyde'),
+held AS (SELECT doc_id, unnest(list_distinct({TOK.format("substr(text, 1, 4000)")})) AS term FROM documents JOIN vis USING (doc_id)),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind, n ORDER BY covered DESC, doc_id) AS rank FROM (SELECT query_id, kind, n, doc_id, count(*) AS covered FROM held JOIN kt USING (term) GROUP BY ALL) QUALIFY rank <= 20),
+legs AS (SELECT query_id, doc_id, rank, score, NULL AS kw FROM vr UNION ALL SELECT query_id, doc_id, rank, NULL, rank FROM kr),
+m AS (SELECT query_id, doc_id, coalesce(max(score), 0.3) AS score, min(kw) AS kw_rank, round(sum(1 / (60.0 + rank)), 9) AS rrf FROM legs GROUP BY ALL),
+sv AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM m) WHERE (score >= 0.3 AND round(top - score, 9) <= 0.05) OR coalesce(kw_rank <= 5, false) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) <= 20),
+rr AS (SELECT sv.query_id, doc_id, any_value(text) AS text, max(CASE WHEN len({TOK.format('qk.query')}) = 0 THEN greatest(0, least(1, score)) ELSE 0.7 * len(list_intersect(list_distinct({TOK.format('qk.query')}), list_distinct({TOK.format('text')}))) / len(list_distinct({TOK.format('qk.query')})) + 0.3 * greatest(0, least(1, score)) END) AS s FROM sv JOIN qk ON qk.query_id = sv.query_id AND kind <> 'hyde' JOIN documents USING (doc_id) GROUP BY sv.query_id, doc_id),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 END AS parent FROM (SELECT query_id, doc_id, text, round(s, 6) AS s FROM rr) QUALIFY rank <= 7),
+pm AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank) AS pn FROM r1 QUALIFY parent IS NULL OR pn <= 2),
+pd AS (SELECT query_id, doc_id, text, CASE WHEN parent IS NULL THEN s ELSE round(s * pow(0.85, pn - 1), 9) END AS s FROM pm),
+tw AS (SELECT query_id, doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS k, round(CASE WHEN reasons <> '' THEN s * (0.85 + 0.15 * trust) ELSE s END, 6) AS s FROM pd JOIN tr_ust USING (doc_id) WHERE trust >= 0.3),
+dd AS (SELECT * FROM tw QUALIFY k = '' OR row_number() OVER (PARTITION BY query_id, substr(k, 1, 512) ORDER BY s DESC, doc_id) = 1)
+SELECT query_id, doc_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM dd QUALIFY rank <= 5"""
+
+
+@query(_sets_sql())
+def r6_query_sets(spark, sf):
+    """Typed query sets over a scoped corpus. Main and extra queries go to the vector and the
+    term leg, hypothetical answers to the vector leg only; hits of keywords alone enter at the floor."""
+    from .acl_queries import SCOPES, objects
+
+    docs = evidence(load(spark, sf, "documents")).join(objects(spark, sf), "doc_id").withColumn("parent_id", F.expr("CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 END"))
+    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    sets = spark.createDataFrame(SETS, "query_id int, kind string, n int, query string, vec long")
+    sets = sets.join(vectors.select(F.col("doc_id").alias("vec"), F.col("embedding").alias("vector")), "vec", "left").drop("vec")
+    return Corpus(docs, term_index(spark, sf), vectors).with_scope(SCOPES[SETS_SCOPE]).retrieve(sets, 5)
