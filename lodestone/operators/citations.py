@@ -1,68 +1,14 @@
-"""Citation checks, evidence spans, and packing of context within budgets."""
+"""Evidence spans, and packing of context within budgets."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-MARK = r"\[Source\s+(\d+)\]"
-
-
-def numbers(text: Column) -> Column:
-    """Distinct numbers with their thousands separators and trailing zeros dropped."""
-    found = F.regexp_extract_all(F.regexp_replace(text, MARK, " "), F.lit(r"(?<![A-Za-z0-9.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)"), F.lit(1))
-    plain = F.transform(found, lambda n: F.regexp_replace(F.replace(n, F.lit(","), F.lit("")), r"(\.\d*?)0+$", "$1"))
-    return F.array_distinct(F.transform(plain, lambda n: F.regexp_replace(F.regexp_replace(n, r"\.$", ""), r"^0+(?=\d)", "")))
-
-
-def dates(text: Column) -> Column:
-    """Distinct dates as year, year-month or year-month-day."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:19|20)\d{2}(?:\s*[-/年]\s*\d{1,2}(?:\s*[-/月]\s*\d{1,2})?)?)"), F.lit(1))
-    parts = F.transform(found, lambda d: F.filter(F.split(d, r"\D+"), lambda p: p != ""))
-    return F.array_distinct(F.transform(parts, lambda p: F.array_join(F.transform(p, lambda v: F.when(F.length(v) == 1, F.concat(F.lit("0"), v)).otherwise(v)), "-")))
-
-
-def claims(answers: DataFrame) -> DataFrame:
-    """answer_id, at, sentence, cited: a row for each sentence and source number it cites (null without one)."""
-    marked = F.regexp_replace("answer", r"([。！？!?；;.])((?:\s*\[Source\s+\d+\])+)", "$2$1")  # marks after the stop belong before it
-    rows = answers.select("answer_id", F.posexplode(X.sentences(marked)).alias("at", "raw"))
-    cited = F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(MARK), F.lit(1)), lambda n: n.cast("int")))
-    return rows.withColumn("sentence", F.trim(F.regexp_replace("raw", MARK, ""))).withColumn("cited", F.explode_outer(cited)).drop("raw")
-
-
-def verify(answers: DataFrame, sources: DataFrame, least: float = 0.30, ahead: float = 0.25) -> DataFrame:
-    """answer_id, at, cited, exists, ratio, misplaced, numbers_ok, dates_ok, status for each claim that cites something.
-
-    sources: answer_id, n (from 1), text. Support is the share of the sentence's tokens in the source; misplaced: another source of
-    the answer supports it by `ahead` more. supported: the source exists, support is enough, and no number or date is foreign.
-    """
-    c = claims(answers).where("cited IS NOT NULL")
-    s = sources.select("answer_id", "n", "text")
-    held = c.join(s, "answer_id", "left").withColumn("ratio", F.coalesce(X.support(F.col("sentence"), F.col("text")), F.lit(0.0)))
-    own = F.col("n") == F.col("cited")
-    rows = held.groupBy("answer_id", "at", "cited", "sentence").agg(
-        F.max(F.when(own, F.lit(True))).alias("found"), F.max(F.when(own, F.col("ratio"))).alias("own"), F.max(F.when(~own, F.col("ratio"))).alias("other"), F.max(F.when(own, F.col("text"))).alias("text")
-    )
-    exists, ratio = F.coalesce("found", F.lit(False)), F.coalesce("own", F.lit(0.0))
-    numbers_ok = F.size(F.array_except(numbers(F.col("sentence")), F.coalesce(numbers(F.col("text")), F.array()))) == 0
-    dates_ok = F.size(F.array_except(dates(F.col("sentence")), F.coalesce(dates(F.col("text")), F.array()))) == 0
-    misplaced = F.coalesce("other", F.lit(0.0)) >= ratio + ahead
-    ok = exists & (ratio >= least) & numbers_ok & dates_ok & ~misplaced
-    return rows.select("answer_id", "at", "cited", exists.alias("exists"), F.round(ratio, 6).alias("ratio"), misplaced.alias("misplaced"), numbers_ok.alias("numbers_ok"), dates_ok.alias("dates_ok"), F.when(ok, "supported").otherwise("unsupported").alias("status"))
-
-
-def verdicts(answers: DataFrame, checked: DataFrame) -> DataFrame:
-    """answer_id, citations, supported, verdict: verified, partial, unsupported or no_citations."""
-    n = checked.groupBy("answer_id").agg(F.count(F.lit(1)).alias("citations"), F.count_if(F.col("status") == "supported").alias("supported"))
-    rows = answers.select("answer_id").join(n, "answer_id", "left").fillna(0)
-    v = F.when(F.col("citations") == 0, "no_citations").when(F.col("supported") == F.col("citations"), "verified").when(F.col("supported") > 0, "partial").otherwise("unsupported")
-    return rows.withColumn("verdict", v)
-
-
 def evidence_spans(questions: DataFrame, sources: DataFrame, good: float = 0.34, some: float = 0.18, most: int = 3) -> DataFrame:
     """query_id, n, at, ratio, sentence: each source's sentences that support the question by `good`, else its best by `some`; the
     best `most` of a source, in the source's order."""
