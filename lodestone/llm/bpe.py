@@ -3,15 +3,17 @@
 A text is cut at added tokens, then into pieces by the byte-level pattern. A piece's bytes are its first symbols. The leaves of
 a segment tree hold, for each pair of adjacent symbols, the pair's merge rank and its place, so the root is the leftmost pair of
 the lowest rank. A merge changes three leaves, each in logarithmic time, and merges go on until the root holds none: a piece of
-n bytes takes n log n steps whatever it holds. Each worker remembers the ids of short pieces.
+n bytes takes n log n steps whatever it holds. Short pieces of a run of texts, each distinct one once, go through their trees
+together, a row of an array for each tree; each worker remembers their ids.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
-from itertools import islice
+from functools import lru_cache, partial
+from itertools import compress, count, islice
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,11 @@ YOUNG = (
     "191a0-191d2 1b123-1b128 1b168-1b168 1d6a6-1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 "
     "1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e-2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
 )
+_NONE = 1 << 40
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
-#: Pieces that a worker remembers, the longest of them, and the pieces of a text that are held at once.
-KNOWN, LONGEST, AT_ONCE = 400_000, 40, 1 << 17
+#: Pieces that a worker remembers, bytes up to which pieces share an array of trees, and the
+#: pieces of a text, and unknown ones of a run of texts, that are held at once.
+KNOWN, SHARED, AT_ONCE = 500_000, 64, 1 << 17
 
 
 def default_path() -> str:
@@ -133,8 +137,12 @@ class Codec:
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.added = {t["content"]: t["id"] for t in added}
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if added else None
-        self.four = [i.to_bytes(4, "little") for i in range(width)]
+        keys = np.array(list(self.rank), dtype=np.int64)
+        order = np.argsort(keys)
+        self.sorted_keys, self.sorted_ranks = keys[order], np.array(list(self.rank.values()), dtype=np.int64)[order]
+        self.merged_ids, self.first_ids = np.array(self.merged, dtype=np.int64), np.array(self.byte_ids, dtype=np.int64)
         self.pieces, self.wide = _patterns()
+        self.whole = min(self.byte_ids) >= 0
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece. A byte that the vocabulary lacks has none."""
@@ -160,6 +168,60 @@ class Codec:
             tree.put(*changes)
         return [s for s in sym if s >= 0]
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair, _NONE for those that are not merged."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
+        return np.where(self.sorted_keys[at] == keys, self.sorted_ranks[at], _NONE)
+
+    def merge_together(self, pieces: list[bytes], leaves: int) -> list[bytes]:
+        """The ids, as little-endian bytes, of pieces of 2 to leaves + 1 bytes, by trees of `leaves` leaves (a power of two, 64 at
+        most) that take their steps together."""
+        n, rows = np.fromiter(map(len, pieces), np.int64, len(pieces)), len(pieces)
+        sym = np.full((rows, leaves + 2), -1, dtype=np.int64)
+        sym[np.arange(leaves + 2) < n[:, None]] = self.first_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        places = np.arange(leaves + 2)
+        after, before = np.tile(places + 1, (rows, 1)), np.tile(places - 1, (rows, 1))
+        tree = np.full((rows, 2 * leaves), _NONE * 64, dtype=np.int64)
+        tree[:, leaves:] = np.where(sym[:, 1 : leaves + 1] >= 0, self.ranks(sym[:, :leaves], sym[:, 1 : leaves + 1]), _NONE) * 64 + places[:leaves]
+        for i in range(leaves - 1, 0, -1):
+            np.minimum(tree[:, 2 * i], tree[:, 2 * i + 1], out=tree[:, i])
+        live = np.arange(rows)
+        while len(live := live[tree[live, 1] < _NONE * 64]):
+            r, i = tree[live, 1] >> 6, tree[live, 1] & 63
+            j = after[live, i]
+            k = after[live, j]
+            made = self.merged_ids[r]
+            sym[live, i], sym[live, j], after[live, i] = made, -1, k
+            more, p = k < n[live], before[live, i]
+            left = p >= 0
+            before[live[more], k[more]] = i[more]
+            follows = np.full(len(live), _NONE, dtype=np.int64)
+            follows[more] = self.ranks(made[more], sym[live[more], k[more]])
+            at = np.concatenate([live, live[more], live[left]])
+            leaf = np.concatenate([i, j[more], p[left]])
+            value = np.concatenate([follows, np.full(more.sum(), _NONE, dtype=np.int64), self.ranks(sym[live[left], p[left]], made[left])])
+            node = leaf + leaves
+            tree[at, node] = value * 64 + leaf
+            while (node := node >> 1)[0]:
+                tree[at, node] = np.minimum(tree[at, 2 * node], tree[at, 2 * node + 1])
+        stays = sym >= 0
+        data, ends = sym[stays].astype("<u4").tobytes(), np.concatenate([[0], 4 * np.cumsum(stays.sum(axis=1))]).tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+    def ids(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece as little-endian bytes."""
+        out, together = {}, {}
+        for piece in pieces:
+            raw = piece.encode()
+            if 1 < len(raw) <= SHARED and self.whole:
+                together.setdefault(max(1, 1 << (len(raw) - 2).bit_length()), []).append((piece, raw))
+            else:
+                out[piece] = np.array(self.merge(raw), dtype="<u4").tobytes()
+        for leaves, some in together.items():
+            out.update(zip((p for p, _ in some), self.merge_together([r for _, r in some], leaves), strict=True))
+        return out
+
     def parts(self, text: str):
         """Lists of a text's pieces, AT_ONCE of them at most, and the ids of added tokens between them."""
         at = 0
@@ -177,21 +239,6 @@ class Codec:
                 at = m.end()
 
 
-class _Known(dict):
-    """piece -> its ids as little-endian bytes."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> bytes:
-        out = b"".join(map(self.codec.four.__getitem__, self.codec.merge(piece.encode())))
-        if len(piece) < LONGEST:
-            if len(self) >= KNOWN:
-                self.clear()
-            self[piece] = out
-        return out
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -199,12 +246,37 @@ def codec(path: str) -> Codec:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers in bytes."""
-    own = codec(path)
-    of = _Known(own).__getitem__
-
-    def encode(text: str) -> bytes:
-        return b"".join(b"".join(map(of, part)) if isinstance(part, list) else part.to_bytes(4, "little") for part in own.parts(text))
+    """texts -> the ids of each as little-endian unsigned 32-bit integers in bytes."""
+    own, known = codec(path), {}
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[list[bytes | None]] = [[] for _ in texts]
+        lacking: list[tuple[list, int, str]] = []  # where an id is still to be put
+        fresh: set[str] = set()
+        if len(known) > KNOWN:
+            known.clear()
+
+        def turn_in() -> None:
+            known.update(own.ids(list(fresh)))
+            for ids, k, piece in lacking:
+                ids[k] = known[piece]
+            lacking.clear()
+            fresh.clear()
+
+        for ids, text in zip(out, texts, strict=True):
+            for part in own.parts(text):
+                if not isinstance(part, list):
+                    ids.append(part.to_bytes(4, "little"))
+                    continue
+                begin = len(ids)
+                ids += map(known.get, part)
+                for k in compress(count(begin), map(partial(is_, None), islice(ids, begin, None))):
+                    lacking.append((ids, k, part[k - begin]))
+                    fresh.add(part[k - begin])
+                if len(lacking) >= AT_ONCE:
+                    turn_in()
+        turn_in()
+        return [b"".join(x) for x in out]
 
     return encode
 
@@ -234,9 +306,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     def run(batches):
         of = encoder(path)
         for batch in batches:
-            for a in range(0, max(1, batch.num_rows), 256):
-                some = batch.slice(a, 256)
-                ids = [of(t.decode("utf-8", "replace")) if t else b"" for t in some.column(len(others)).to_pylist()]
+            for a in range(0, max(1, batch.num_rows), 1024):
+                some = batch.slice(a, 1024)
+                ids = of([t.decode("utf-8", "replace") if t else "" for t in some.column(len(others)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(ids, pa.large_binary())], names=[*others, out])
 
     given = docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).cast("string").cast("binary").alias(text))

@@ -17,7 +17,7 @@ def exact():
 
 
 def ids_of(text):
-    return np.frombuffer(encoder(default_path())(text), "<u4").tolist()
+    return np.frombuffer(encoder(default_path())([text])[0], "<u4").tolist()
 
 
 def test_segment_tree_against_a_scan():
@@ -43,6 +43,21 @@ def test_ids_and_texts_equal_the_librarys(exact):
         assert back(np.array(want, "<u4").tobytes()) == exact.decode(want, skip_special_tokens=False) == t
 
 
+def test_trees_together_against_one_tree(monkeypatch):
+    from lodestone.llm import bpe
+
+    rnd = random.Random(6)
+    own = codec(default_path())
+    pieces = list({"".join(rnd.choices("abcdetheiongüß知 ", k=rnd.randrange(1, 22))) for _ in range(3000)} | {"a" * n for n in range(1, 70)})
+    got = own.ids(pieces)
+    assert all(np.frombuffer(got[p], "<u4").tolist() == own.merge(p.encode()) for p in pieces)
+    monkeypatch.setattr(bpe, "KNOWN", 500)
+    monkeypatch.setattr(bpe, "AT_ONCE", 300)
+    fresh = encoder.__wrapped__(default_path())
+    texts = [" ".join(rnd.choices(pieces, k=40)) + "<|endoftext|>" * (i % 3) for i in range(50)]
+    assert fresh(texts) == [fresh([t])[0] for t in texts]
+
+
 def test_every_code_point_in_blocks(exact):
     """Whether the pieces are cut alike, for letters and digits of each version of Unicode."""
     rnd = random.Random(3)
