@@ -1,7 +1,9 @@
 """Hashes of words, word shingles and byte strings over whole batches of texts, by NumPy on the batch's bytes.
 
-Hashes of byte ranges are polynomial, modulo 2**64: with S the running sum of byte * B**i, that of [a, b) is
-(S[b] - S[a]) * B**-a, so any number of ranges costs a few vector operations each.
+Words and shingles are hashed by a chain: eight bytes, or one word, at a time are mixed into a state that a bijection scrambles, so
+nothing about the values carries over (sums of powers modulo 2**64 meet for words of Thue and Morse, whatever the base). `Ranges`
+are such sums: with S the running sum of byte * B**i, the hash of [a, b) is (S[b] - S[a]) * B**-a, so any number of overlapping
+ranges costs a few vector operations each.
 """
 
 from __future__ import annotations
@@ -64,6 +66,26 @@ class Ranges:
         return scramble((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(_U))
 
 
+def chained(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of each byte range [a, b)."""
+    left = (b - a).astype(np.int64)
+    out = scramble(left.astype(_U) + _U(BASES[0]))
+    if not len(a):
+        return out
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    some, at = np.arange(len(a)), a.astype(np.int64)
+    while len(some):
+        out[some] = scramble(out[some] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return out
+
+
+#: Masks of the first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, text of each word): words are runs of bytes other than ASCII white space, A-Z lower-cased."""
     n = len(raw)
@@ -79,7 +101,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.
     last = offsets[1:][np.diff(offsets) > 0] - 1
     ends[last] = kept[last]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Ranges(LOWER[raw] if lower else raw).of(a, b), np.searchsorted(offsets, a, "right") - 1
+    return chained(LOWER[raw] if lower else raw, a, b), np.searchsorted(offsets, a, "right") - 1
 
 
 def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +111,11 @@ def shingles(hashes: np.ndarray, text: np.ndarray, n_texts: int, k: int) -> tupl
     per = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(n_texts), per)
     a = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + first[row]
-    h = Ranges(hashes, BASES[1]).of(a, np.minimum(a + k, first[row + 1]))
+    last = np.minimum(a + k, first[row + 1])
+    h = scramble((last - a).astype(_U) + _U(BASES[1]))
+    for j in range(k):
+        there = np.flatnonzero(a + j < last)
+        h[there] = scramble(h[there] ^ hashes[a[there] + j])
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), dtype=bool)

@@ -243,7 +243,7 @@ class _Search:
         narrow = narrow.withColumn("digest", F.unhex(F.md5("text")))
         kind = narrow.schema["doc_id"].dataType.simpleString()
         self.rows = settle(narrow.mapInArrow(_sketch(k), f"doc_id {kind}, digest binary, n long, cls long, sig binary, bands array<bigint>"), "sketch")
-        sized = self.rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        sized = self.rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.when(F.min("doc_id").isNull(), F.min("digest")).alias("rep_digest"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
         self.classes = settle(sized, "classes")
         keyed = self.classes.select("cls", "n", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "cls", "n")
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("weight")).where("held > 1")
@@ -290,9 +290,10 @@ class _Search:
         return _ordered(blocked(rows, "hashes").mapInArrow(_linked(self.bound), "a long, b long"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(cls, hashes) of the wanted classes."""
-        wanted = wanted.join(self.classes.select("cls", "rep"), "cls")
-        sets = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text").mapInArrow(_sets(self.k), "cls long, hashes binary").dropDuplicates(["cls"])
+        """(cls, hashes) of the wanted classes, from the text of their least doc_id; rows without ids are known by their texts' digests."""
+        wanted = wanted.join(self.classes.select("cls", "rep", "rep_digest"), "cls")
+        own = self.docs.withColumn("own_digest", F.when(F.col("doc_id").isNull(), F.unhex(F.md5("text"))))
+        sets = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & F.col("own_digest").eqNullSafe(F.col("rep_digest"))).select("cls", "text").mapInArrow(_sets(self.k), "cls long, hashes binary").dropDuplicates(["cls"])
         return settle(sets, "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:

@@ -103,3 +103,40 @@ def test_rows_without_ids_and_equal_ids(spark):
     assert sorted((x[2:] for x in got if x[0] is None), key=str) == sorted([(7, False), (None, True), (None, True), (None, True)], key=str)
     kept = [(r["doc_id"], r["text"]) for r in neardup.dedup(docs).collect()]
     assert sorted(kept, key=str) == sorted([(7, base + " tail"), min([(None, other), (None, other + " x")], key=lambda x: __import__("hashlib").md5(x[1].encode()).digest()), (4, third), (4, rows[6][1]), (5, None), (5, None), (None, "")], key=str)
+
+
+def test_words_that_meet_in_sums_of_powers(spark):
+    """The word of Thue and Morse and its complement have equal polynomial hashes modulo 2**64, for every odd base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} x y z"), (4, f"{other} x y z"), (5, word.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_chained_hashes_tell_ranges_apart():
+    import numpy as np
+
+    from lodestone.llm.hashing import chained
+
+    raw = np.frombuffer(b"abcabcab\0\0abcabcabcabcabcabcabc" * 3, dtype=np.uint8)
+    ranges = [(a, b) for a in range(len(raw)) for b in range(a, len(raw) + 1)]
+    got = chained(raw, np.array([a for a, _ in ranges]), np.array([b for _, b in ranges])).tolist()
+    by = {}
+    for (a, b), h in zip(ranges, got, strict=True):
+        by.setdefault(raw[a:b].tobytes(), set()).add(h)
+    assert all(len(h) == 1 for h in by.values()) and len({h for hs in by.values() for h in hs}) == len(by)
+
+
+def test_many_rows_without_ids(spark):
+    """Each is met by its own text only: as many as with ids take about as long."""
+    import time
+
+    rows = [" ".join(f"w{(i * 7 + j) % 997}" for j in range(30)) for i in range(1500)]
+    took = []
+    for ids in (True, False):
+        docs = spark.createDataFrame([(i if ids else None, t) for i, t in enumerate(rows)], "doc_id long, text string")
+        began = time.time()
+        assert near_duplicates(docs, 4).count() == 1500
+        took.append(time.time() - began)
+    assert took[1] < 2 * took[0] + 5
