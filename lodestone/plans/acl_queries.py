@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,3 +186,46 @@ def q5_view_keys(spark, sf):
 
 
 _register("q5_view_keys", q5_view_keys, f"WITH o AS ({OBJECTS_SQL}), r AS (SELECT object_id, doc_id % 30 AS document_id, doc_id % 4 AS t, doc_id FROM o WHERE object_id IS NOT NULL) SELECT document_id, CASE t WHEN 0 THEN 'doc' WHEN 1 THEN 'img:' || object_id WHEN 2 THEN 'pc:' || object_id ELSE 'ci:' || doc_id END AS view_key, object_id, bool_or(t = 3) OVER (PARTITION BY document_id) AS materialized FROM r", q5_view_keys.__doc__)
+
+
+_DOCS = {
+    "document_id": "concat('d', doc_id)", "tenant_id": "CASE WHEN doc_id % 17 <> 0 THEN concat('t', doc_id % 4) END", "owner_id": "concat('u', doc_id % 7)", "department_id": "CASE WHEN doc_id % 19 <> 0 THEN concat('d', doc_id % 3) END",
+    "access_level": "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'department' ELSE 'tenant' END", "visibility_mode": "CASE WHEN doc_id % 4 = 1 THEN 'project' END", "security_level": "CASE WHEN doc_id % 6 <> 5 THEN cast(doc_id % 4 AS int) END",
+    "project_ids": "LIST(concat('p', doc_id % 3))", "acl_allow": "CASE WHEN doc_id % 10 = 3 THEN LIST('user:u1') END", "acl_deny": "CASE WHEN doc_id % 3 = 0 THEN LIST('user:u9', 'dept:d1') END",
+}
+_POINTS = {
+    "document_id": "concat('d', doc_id)", "at": "p", "point_id": "concat('x', p)", "content_type": "CASE (doc_id + p) % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'image' WHEN 3 THEN ' Code' END",
+    "image_id": "CASE WHEN (doc_id + p) % 3 < 2 THEN concat('i', (doc_id + p) % 2) END", "image_path": "concat('images/', p, '.png')", "chunk_index": "CASE WHEN p < 7 THEN p // 2 END", "page_number": "p + 1",
+}
+_UPPERS = {"document_id": "concat('d', doc_id)", "at": "p", "parent_id": "CASE WHEN p < 4 THEN concat('pc', p // 2) END", "owner_id": "CASE WHEN p = 0 THEN 'u99' END", "department_id": "cast(NULL AS varchar)", "access_level": "CASE WHEN p = 2 THEN 'private' END", "tenant_id": "cast(NULL AS varchar)"}
+
+
+def _columns(of: dict, duck: bool):
+    """The expressions for either engine: SQL for DuckDB, a list for Spark."""
+    said = [f"{e} AS {c}" for c, e in of.items()]
+    return ", ".join(said).replace("LIST(", "list_value(") if duck else [e.replace("LIST(", "array(").replace("//", "div").replace("varchar", "string") for e in said]
+
+
+_CASCADE_SQL = f"""WITH RECURSIVE b AS (SELECT document_id, coalesce(tenant_id, 'default') AS tenant_id, owner_id, department_id, coalesce(access_level, 'private') AS access_level, coalesce(security_level, {A.DEFAULT_LEVEL}) AS lv, coalesce(acl_allow, []) AS aa, coalesce(acl_deny, []) AS ad FROM (SELECT {_columns(_DOCS, True)} FROM documents)),
+p AS (SELECT *, coalesce(trim(content_type), 'text') AS ct FROM (SELECT {_columns(_POINTS, True)} FROM documents, range(8) AS r(p))),
+n AS (SELECT document_id, document_id AS object_id, 'doc' AS object_type, CAST(NULL AS VARCHAR) AS up, CAST(NULL AS INT) AS chunk_index, CAST(NULL AS INT) AS page_number, CAST(NULL AS VARCHAR) AS image_path, CAST(NULL AS VARCHAR) AS o, CAST(NULL AS VARCHAR) AS al, false AS bare FROM b
+  UNION ALL SELECT document_id, document_id || '::' || image_id, 'image', document_id, NULL, page_number, image_path, NULL, NULL, false FROM p WHERE image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, image_id ORDER BY at) = 1
+  UNION ALL SELECT document_id, document_id || '::' || point_id, CASE lower(ct) WHEN 'table' THEN 'table' WHEN 'code' THEN 'code' WHEN 'image' THEN 'image' ELSE 'text_chunk' END, CASE WHEN image_id IS NULL THEN document_id ELSE document_id || '::' || image_id END, CASE WHEN row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY at) = 1 THEN chunk_index END, page_number, image_path, NULL, NULL, image_id IS NOT NULL FROM p WHERE NOT (ct = 'image' AND image_id IS NOT NULL)
+  UNION ALL SELECT document_id, document_id || '::' || parent_id, 'parent_chunk', document_id, NULL, NULL, NULL, owner_id, access_level, true FROM (SELECT {_columns(_UPPERS, True)} FROM documents, range(5) AS r(p)) WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id, parent_id ORDER BY at) = 1),
+w AS (SELECT object_id, document_id, CAST(NULL AS INT) AS parent_level, lv AS level FROM n JOIN b USING (document_id) WHERE up IS NULL UNION ALL SELECT n.object_id, n.document_id, w.level, greatest(b.lv, w.level) FROM w JOIN n ON n.up = w.object_id AND n.document_id = w.document_id JOIN b ON b.document_id = n.document_id)
+SELECT n.object_id, n.object_type, n.up AS parent_object_id, w.parent_level, w.level, b.tenant_id, coalesce(n.o, b.owner_id) AS owner_id, coalesce(n.al, b.access_level) AS access_level, CASE WHEN n.bare THEN '' ELSE array_to_string(b.aa, ',') END AS allow,
+  array_to_string(CASE WHEN n.bare AND n.object_type <> 'parent_chunk' THEN list_sort(b.ad) ELSE b.ad END, ',') AS deny, n.chunk_index, n.page_number, n.image_path FROM n JOIN w USING (document_id, object_id) JOIN b USING (document_id)"""
+
+
+def d5_cascade(spark, sf):
+    """Object rows of every document, its images, chunks and parent chunks, each as strict as what it comes from."""
+    docs = load(spark, sf, "documents").select("doc_id")
+    many = lambda n: docs.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    out = G.cascade(docs.selectExpr(*_columns(_DOCS, False)), many(8).selectExpr(*_columns(_POINTS, False)), many(5).selectExpr(*_columns(_UPPERS, False)))
+    return out.select(
+        "object_id", "object_type", "parent_object_id", F.col("parent_security_level").alias("parent_level"), F.col("effective_security_level").alias("level"), "tenant_id", "owner_id", "access_level",
+        F.array_join("acl_allow", ",").alias("allow"), F.array_join("acl_deny", ",").alias("deny"), "chunk_index", "page_number", "image_path",
+    )
+
+
+QUERIES["d5_cascade"], ORACLES["d5_cascade"] = d5_cascade, re.sub(r"\bat\b", '"at"', _CASCADE_SQL)
