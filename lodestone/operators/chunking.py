@@ -1,15 +1,21 @@
-"""Chunking: semantic blocks, recursive splits with overlap, fixed windows, parents."""
+"""Chunking: semantic blocks, recursive splits with overlap, page bounds, protected spans, fixed windows, parents."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Separators from coarse to fine.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
+#: Characters a token stands for, room left beside them, and how much longer than allowed a chunk may be before it is cut
+#: anew between sentences.
+PER_TOKEN, ROOM, OVERLONG = 1.6, 1.05, 1.2
+_SENTENCE = re.compile(r"(?<=[。！？；.!?;])\s*|(?<=\n)\s*")
 _HEADING, _FENCE = re.compile(r"^(#{1,6})\s+(.*\S)\s*$"), re.compile(r"^\s*(```|~~~)")
 
 
@@ -54,6 +60,49 @@ def blocks(text: str) -> list[tuple[int, int, str, str, tuple[str, ...]]]:
     return out
 
 
+class Spans:
+    """A sorted set of disjoint spans; touching and overlapping ones are one."""
+
+    def __init__(self, spans):
+        self.begins, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            elif a < b:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def cut_by(self, at: int) -> bool:
+        """Whether a cut at this place falls within a span."""
+        i = bisect_right(self.begins, at) - 1
+        return i >= 0 and self.begins[i] < at < self.ends[i]
+
+
+def protected(text: str) -> Spans:
+    """The spans of fenced code and of tables, neither of which may be cut."""
+    return Spans((a, b) for a, b, kind, _, _ in blocks(text) if kind in ("code", "table"))
+
+
+def budget(size: int, token_aware: bool = True) -> int:
+    """Characters for a size in tokens."""
+    return max(1, int(size * PER_TOKEN * ROOM)) if token_aware else size
+
+
+def smoothed(text: str, most: int) -> list[str]:
+    """A chunk that is far too long, cut anew between its sentences; others as they are."""
+    sentences = [s for p in re.split(r"\n\s*\n", text) for x in _SENTENCE.split(p) if (s := x.strip())]
+    if len(text) <= most * OVERLONG or len(sentences) < 2:
+        return [text]
+    out, held = [], ""
+    for s in sentences:
+        if held and len(held) + len(s) + 1 > most:
+            out.append(held)
+            held = s
+        else:
+            held = f"{held}\n{s}" if held else s
+    return [*out, held]
+
+
 def _joined(parts: list[str], sep: str, size: int, overlap: int) -> list[str]:
     """Parts joined up to `size`; a new piece starts with the last parts of the one before, up to `overlap`."""
     out: list[str] = []
@@ -87,10 +136,8 @@ def split(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS
     return _joined(parts, sep, size, overlap)
 
 
-def chunks(text: str, least: int = 200, most: int = 1000, overlap: int = 100) -> list[dict]:
+def _chunks_of_page(text: str, least: int, most: int, overlap: int) -> list[dict]:
     """Chunks in order with their place in the text (-1 if not found), section path and kind; tables and code stay whole."""
-    if overlap >= most:
-        raise ValueError("the overlap must be smaller than the largest chunk")
     out: list[dict] = []
     held: list[tuple[str, tuple[str, ...]]] = []
 
@@ -100,7 +147,8 @@ def chunks(text: str, least: int = 200, most: int = 1000, overlap: int = 100) ->
 
     def flush():
         if held:
-            add("\n\n".join(t for t, _ in held), next((p for _, p in held if p), ()), "text")
+            for piece in smoothed("\n\n".join(t for t, _ in held), most):
+                add(piece, next((p for _, p in held if p), ()), "text")
             held.clear()
 
     for start, end, kind, _, path in blocks(text):
@@ -123,28 +171,63 @@ def chunks(text: str, least: int = 200, most: int = 1000, overlap: int = 100) ->
     for c in out:
         found = text.find(c["text"], at)
         found = found if found >= 0 else text.find(c["text"])
-        if found < 0 and (m := re.search(r"\s+".join(map(re.escape, c["text"].split())), text[at:])):
-            found, c["text"] = at + m.start(), m[0]
+        if found < 0:  # white space, or marks between empty sentences, went in the splitting
+            spaced, worded = r"\s+".join(map(re.escape, c["text"].split())), r"\W+".join(re.findall(r"\w+", c["text"]))
+            if m := re.search(spaced, text[at:]) or (re.search(worded, text[at:]) if worded else None):
+                found, c["text"] = at + m.start(), m[0]
         c["char_start"], c["char_end"] = (found, found + len(c["text"])) if found >= 0 else (-1, -1)
         at = max(at, found + 1)
     return out
 
 
-def chunk_documents(docs: DataFrame, least: int = 200, most: int = 1000, overlap: int = 100, key: str = "doc_id") -> DataFrame:
-    """key, chunk_index, text, kind, section_path, char_start, char_end, line_start, line_end of each document's chunks."""
+def chunks(text: str, least: int = 200, most: int = 1000, overlap: int = 100, breaks=(), token_aware: bool = False) -> list[dict]:
+    """Chunks in order with their place in the text (-1 if not found), page (from 0), section path and kind.
+
+    No chunk crosses a break (a place where a page begins), but where a break would cut a table or fenced code: that one does not
+    count. With token_aware the sizes are in tokens.
+    """
+    if overlap >= most:
+        raise ValueError("the overlap must be smaller than the largest chunk")
+    if token_aware:
+        least, most, overlap = budget(least), budget(most), budget(overlap) if overlap else 0
+    whole = protected(text) if breaks else Spans(())
+    places = sorted({b for b in breaks if 0 < b < len(text) and not whole.cut_by(b)})
+    out: list[dict] = []
+    for a, b in zip([0, *places], [*places, len(text)], strict=True):
+        page = bisect_right(sorted(breaks), a)
+        for c in _chunks_of_page(text[a:b], least, most, overlap):
+            if c["char_start"] >= 0:
+                c["char_start"], c["char_end"] = c["char_start"] + a, c["char_end"] + a
+            out.append(c | {"page": page})
+    return out
+
+
+def chunk_documents(docs: DataFrame, least: int = 200, most: int = 1000, overlap: int = 100, key: str = "doc_id", breaks: str | None = None, token_aware: bool = False) -> DataFrame:
+    """key, chunk_index, text, kind, section_path, char_start, char_end, line_start, line_end, page of each document's chunks. `breaks`
+    names a column of places where pages begin."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for k, text in zip(pdf[key], pdf["text"], strict=True):
-                for i, c in enumerate(chunks(text or "", least, most, overlap)):
+            for k, text, at in zip(pdf[key], pdf["text"], pdf["__breaks"], strict=True):
+                for i, c in enumerate(chunks(text or "", least, most, overlap, () if at is None else [int(b) for b in at], token_aware)):
                     a, b = c["char_start"], c["char_end"]
                     lines = (text.count("\n", 0, a) + 1, text.count("\n", 0, b) + 1) if a >= 0 else (None, None)
-                    rows.append((k, i, c["text"], c["kind"], c["section_path"], a, b, *lines))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text", "kind", "section_path", "char_start", "char_end", "line_start", "line_end"]).astype({"line_start": "Int32", "line_end": "Int32"})
+                    rows.append((k, i, c["text"], c["kind"], c["section_path"], a, b, *lines, c["page"]))
+            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text", "kind", "section_path", "char_start", "char_end", "line_start", "line_end", "page"]).astype({"line_start": "Int32", "line_end": "Int32"})
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, chunk_index int, text string, kind string, section_path array<string>, char_start int, char_end int, line_start int, line_end int")
+    places = F.col(breaks).cast("array<int>") if breaks else F.lit(None).cast("array<int>")
+    return docs.select(key, "text", places.alias("__breaks")).mapInPandas(run, f"{key} {kind}, chunk_index int, text string, kind string, section_path array<string>, char_start int, char_end int, line_start int, line_end int, page int")
+
+
+def image_chunks(images: DataFrame, chunked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, chunk_index, text, kind of images (key, at, text, content_type) after their document's own chunks: images without a text have
+    none and take no index; kind is the content type, image if there is none."""
+    last = chunked.groupBy(key).agg(F.max("chunk_index").alias("last"))
+    shown = images.withColumn("text", F.btrim("text", F.lit(" \t\n\r\x0b\x0c\u3000\xa0"))).where("text <> ''").join(last, key, "left")
+    n = F.row_number().over(W.partitionBy(key).orderBy("at"))
+    return shown.select(key, (F.coalesce("last", F.lit(-1)) + n).alias("chunk_index"), "text", F.coalesce("content_type", F.lit("image")).alias("kind"))
 
 
 def windows(docs: DataFrame, most: int = 1000, overlap: int = 100, multiple: float = 2.5, key: str = "doc_id") -> DataFrame:

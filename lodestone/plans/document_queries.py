@@ -11,6 +11,7 @@ from ..operators import cleaning as L
 from ..operators import metadata as M
 from ..operators import retrieval as R
 from ..operators import routing as O
+from ..operators import scoring as N
 from ..operators import security as S
 from ..operators import verification as V
 from ..sources import files as I
@@ -156,8 +157,48 @@ def c8_parent_windows(spark, sf):
 
 @query()
 def c1_chunks(spark, sf):
-    """Structure-aware chunks with places and lines."""
-    return C.chunk_documents(load(spark, sf, "documents")).withColumn("section_path", F.array_join("section_path", " / "))
+    """Structure-aware chunks with places and lines."""
+    return C.chunk_documents(load(spark, sf, "documents")).drop("page").withColumn("section_path", F.array_join("section_path", " / "))
+
+
+#: A table and fenced code after a text; pages begin every 1,500 characters, and within both.
+_BLOCKS = "concat(regexp_replace(coalesce(text, ''), '[|`~#]', '.'), chr(10), chr(10), '| a | b |', chr(10), '| --- | --- |', chr(10), '| ', doc_id, ' | x |', chr(10), chr(10), '```py', chr(10), 'y = ', doc_id, chr(10), chr(10), 'z = 1', chr(10), '```', chr(10), 'After it.')"
+
+
+@query(f"SELECT doc_id, length(regexp_replace({_BLOCKS.replace(", '.')", ", '.', 'g')")}, '[^A-Za-z0-9]', '', 'g')) AS chars, 0::BIGINT AS crossing, 0::BIGINT AS displaced, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | x |' AS tables, '```py' || chr(10) || 'y = ' || doc_id || chr(10) || chr(10) || 'z = 1' || chr(10) || '```' AS code FROM documents")
+def c1_pages(spark, sf):
+    """Token-aware chunks without overlap that cross no page, cut no table and no code, lie where they say they do and
+    together hold every letter and digit once."""
+    docs = load(spark, sf, "documents").selectExpr("doc_id", f"{_BLOCKS} AS text").selectExpr("doc_id", "text", "concat(sequence(0, length(text), 1500), array(length(text) - 20, length(text) - 50)) AS breaks")
+    c = C.chunk_documents(docs, 100, 300, 0, breaks="breaks", token_aware=True).withColumnRenamed("text", "chunk").join(docs, "doc_id")
+    inside = F.size(F.filter(F.slice("breaks", 1, F.size("breaks") - 2), lambda b: (b > F.col("char_start")) & (b < F.col("char_end"))))
+    cut = F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    whole = lambda kind: F.array_join(F.collect_list(F.when(F.col("kind") == kind, F.col("chunk"))), "/")
+    apart = lambda kind: F.col("kind") == kind
+    return c.groupBy("doc_id").agg(
+        F.sum(F.length(F.regexp_replace("chunk", "[^A-Za-z0-9]", ""))).cast("long").alias("chars"), F.count_if((inside > 0) & ~apart("table") & ~apart("code")).alias("crossing"),
+        F.count_if(cut != F.col("chunk")).alias("displaced"), whole("table").alias("tables"), whole("code").alias("code"),
+    )
+
+
+@query("SELECT doc_id, n + row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS chunk_index, p AS at, kind FROM (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 ELSE 1 END AS n, p, CASE p WHEN 0 THEN 'table' WHEN 3 THEN 'code' ELSE 'image' END AS kind FROM documents, range(5) AS r(p) WHERE (doc_id + p) % 3 > 0)".replace("AS at", 'AS "at"'))
+def c10_image_chunks(spark, sf):
+    """Chunks of images after those of the text; images without a text take no index."""
+    docs = load(spark, sf, "documents").selectExpr("doc_id", "text")
+    images = docs.selectExpr("doc_id", "explode(sequence(0, 4)) AS at").selectExpr("doc_id", "at", "CASE WHEN (doc_id + at) % 3 > 0 THEN concat('image ', at) ELSE '  ' END AS text", "CASE at WHEN 0 THEN 'table' WHEN 3 THEN 'code' END AS content_type")
+    one = docs.where("trim(coalesce(text, '')) <> ''").select("doc_id", F.lit(0).alias("chunk_index"))
+    return C.image_chunks(images, one).select("doc_id", "chunk_index", F.substring("text", 7, 9).cast("int").alias("at"), "kind")
+
+
+_TABLE = "concat('<p>', title, '</p><table><tr><th colspan=\"2\">P ', page_id, '</th><th rowspan=0>a|b</th></tr><tr><td rowspan=2>x<br>y</td><td>', length(html), '</td></tr><tr><td> &lt;', page_id % 7, '&gt; </td></tr></table>', CASE WHEN page_id % 5 = 0 THEN '<table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>' ELSE '' END)"
+
+
+@query("""WITH c AS (SELECT page_id, unnest([(0, 0, 0, 'P ' || page_id), (0, 0, 1, 'P ' || page_id), (0, 0, 2, 'a|b'), (0, 1, 0, 'x y'), (0, 1, 1, length(html)::VARCHAR), (0, 1, 2, 'a|b'), (0, 2, 0, 'x y'), (0, 2, 1, '<' || page_id % 7 || '>'), (0, 2, 2, 'a|b')]) AS c FROM pages)
+SELECT page_id, c[1]::INT AS "table", c[2]::INT AS row, c[3]::INT AS col, c[4] AS text, NULL::VARCHAR AS error FROM c UNION ALL SELECT page_id, 1, NULL, NULL, NULL, 'overlapping spans' FROM pages WHERE page_id % 5 = 0""")
+def s6_table_cells(spark, sf):
+    """Cells of HTML tables by a table function that is joined laterally."""
+    rows = load(spark, sf, "pages").selectExpr("page_id", f"{_TABLE.replace('title', 'page_id')} AS made")
+    return rows.lateralJoin(I.TableCells(F.col("made").outer())).select("page_id", "table", "row", "col", "text", "error")
 
 
 @query()
@@ -332,3 +373,53 @@ def st_quality_windows(spark, sf):
 def st_sessions(spark, sf):
     """Sessions with gaps of 30 minutes."""
     return K.sessions(load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+#: Answers by doc_id: right, within a longer number, withdrawn, refused well and badly, conflicts told and settled, not done.
+_CASE = "doc_id % 12"
+_ANSWERS = f"CASE {_CASE} WHEN 0 THEN concat('预算为 ', n_chars, ' 万元。', t) WHEN 1 THEN concat('预算为 1', n_chars, '万元。', t) WHEN 2 THEN concat('预算为 ', n_chars, '万元，但无法确认') WHEN 3 THEN concat('没有相关资料。', t) WHEN 4 THEN '没有相关资料，大约三十天' WHEN 5 THEN concat('需要核实：有', n_chars, '万元与7万元') WHEN 6 THEN concat('需要核实：有', n_chars, '万元') WHEN 7 THEN concat('需核实 ', n_chars, '万元、7万元，最终预算为7万元') WHEN 8 THEN concat('预算为', n_chars, '万元') WHEN 9 THEN t WHEN 10 THEN concat('A-', doc_id, ' is', t) ELSE concat(t, ' A-', doc_id, '9') END"
+_KINDS = f"CASE WHEN {_CASE} IN (3, 4) THEN 'refusal' WHEN {_CASE} IN (5, 6, 7) THEN 'conflict' ELSE 'literal' END"
+_TRUTHS = f"CASE WHEN {_CASE} < 3 OR {_CASE} IN (8, 9) THEN concat(n_chars, '万元') WHEN {_CASE} > 9 THEN concat('A-', doc_id) END"
+
+
+@query(f"SELECT doc_id AS case_id, CASE {_CASE} WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 8 THEN true WHEN 9 THEN false END AS numeric_match, {_CASE} IN (0, 3, 5, 10) AS correct FROM documents")
+def e11_answer_scores(spark, sf):
+    """Answers against their cases, one of each rule and of each way to fail it."""
+    rows = load(spark, sf, "documents").selectExpr("doc_id", "n_chars", "translate(coalesce(text, ''), '0123456789', 'abcdefghij') AS t")
+    rows = rows.selectExpr("doc_id AS case_id", f"{_ANSWERS} AS answer", f"{_TRUTHS} AS truth", f"{_KINDS} AS kind", "array(concat('甲 ', n_chars, '万元'), '乙 7万元') AS evidence", f"{_CASE} <> 8 AS done", "cast(NULL AS string) AS error")
+    return N.answer_scores(rows)
+
+
+#: Requests, and what their names come to without marks; number asked for; whether they take in the whole library.
+REQUESTS = [
+    (1, "总结《Annual Report 2014》", ["annualreport2014"], None, False), (2, "概括一下 contract_财务.csv", ["contract财务csv"], None, False), (3, "总结第十二份文档", [], 12, False), (4, "总结第 3 份", [], 3, False),
+    (5, "总结所有文档里关于「反幻觉机制」的内容", ["反幻觉机制"], None, True), (6, "总结《不存在之物》", ["不存在之物"], None, False), (7, "总结一下第三章", [], None, False), (8, "归纳：annual report 2019 final", ["annualreport2019final"], None, None),
+    (9, "总结第二十一篇", [], 21, False), (10, "总结第九百份", [], None, False),
+]
+_REQUESTS_SQL = "(VALUES " + ", ".join(f"({i}, '{q}', {hints if hints else '[]::VARCHAR[]'}, {'NULL' if n is None else n}, {str(bool(hints) and w is False).lower()})" for i, q, hints, n, w in REQUESTS) + ") AS r(query_id, query, hints, ordinal, strong)"
+_TARGETS_SQL = rf"""names AS (SELECT doc_id, regexp_extract(f, '([^/]*)$', 1) AS name FROM (SELECT doc_id, {NAMES} AS f FROM documents)),
+st AS (SELECT doc_id, regexp_replace(lower(name), '[^0-9a-z\x{{4e00}}-\x{{9fa5}}]+', '', 'g') AS full_, regexp_replace(name, '(?i)\.[a-z0-9]{{1,6}}$', '') AS stem FROM names),
+nm AS (SELECT *, regexp_replace(lower(stem), '[^0-9a-z\x{{4e00}}-\x{{9fa5}}]+', '', 'g') AS s, list_filter(regexp_extract_all(lower(stem), '[a-z0-9]+|[\x{{4e00}}-\x{{9fa5}}]+'), lambda t: length(t) >= 2) AS parts FROM st),
+rq AS (SELECT *, regexp_replace(lower(query), '[^0-9a-z\x{{4e00}}-\x{{9fa5}}]+', '', 'g') AS q FROM {_REQUESTS_SQL}),
+sc AS (SELECT query_id, doc_id, CASE WHEN s <> '' AND (contains(q, s) OR contains(q, full_)) THEN 1 ELSE (SELECT max(c) FROM (SELECT unnest(list_transform(hints, lambda h: coalesce(list_sum(list_transform(list_filter(parts, lambda t: contains(h, t)), lambda t: length(t))), 0) / list_sum(list_transform(parts, lambda t: length(t))))) AS c)) END AS hint,
+  0.9 * coalesce(list_sum(list_transform(list_filter(parts, lambda t: contains(q, t)), lambda t: length(t))), 0) / list_sum(list_transform(parts, lambda t: length(t))) AS loose FROM nm, rq WHERE len(hints) > 0),
+bs AS (SELECT query_id, doc_id, round(CASE WHEN hint >= 0.6 THEN hint ELSE greatest(coalesce(hint, 0), coalesce(loose, 0)) END, 9) AS score FROM sc),
+kp AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM bs WHERE score >= 0.6) WHERE score >= greatest(0.6, round(top - 0.1, 9))),
+tg AS (SELECT query_id, doc_id, score FROM kp UNION ALL SELECT query_id, doc_id, NULL FROM rq JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS n FROM documents) ON n = ordinal WHERE query_id NOT IN (SELECT query_id FROM kp))"""
+
+
+def _requests(spark, sf):
+    docs = load(spark, sf, "documents").selectExpr("doc_id", f"{NAMES} AS f").selectExpr("doc_id", "regexp_extract(f, '([^/]*)$', 1) AS filename", "-doc_id AS at")
+    return N.summary_targets(spark.createDataFrame([r[:2] for r in REQUESTS], "query_id int, query string"), docs)
+
+
+@query(f"WITH {_TARGETS_SQL} SELECT * FROM tg")
+def d3_summary_targets(spark, sf):
+    """D3: the documents that requests name, in full, in part or by number in Chinese numerals."""
+    return _requests(spark, sf)[0]
+
+
+@query(f"WITH {_TARGETS_SQL} SELECT query_id, count(doc_id) AS targets, count(doc_id) = 0 AND (any_value(ordinal) IS NOT NULL OR any_value(strong)) AS missing FROM rq LEFT JOIN tg USING (query_id) GROUP BY query_id")
+def d3_summary_verdicts(spark, sf):
+    """D3: how many documents each request names, and whether it names one that there is not."""
+    return _requests(spark, sf)[1]

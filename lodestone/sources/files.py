@@ -194,6 +194,8 @@ class _Tables(HTMLParser):
         elif tag == "tr" and self.tables:
             self.row = []
             self.tables[-1].append(self.row)
+        elif tag == "br":
+            self.handle_data(" ")
         elif tag in ("td", "th") and self.row is not None:
             span = lambda k: int(a[k]) if (a.get(k) or "").isdigit() else 1
             self.cell = [span("rowspan"), span("colspan"), ""]
@@ -210,29 +212,53 @@ class _Tables(HTMLParser):
             self.cell[2] += data
 
 
-def table_markdown(html: str) -> str:
-    """The first table as Markdown; cells that span rows or columns are repeated. Overlapping spans, more than 1000 columns or
-    100,000 cells are errors; a row span of 0 reaches the last row."""
-    p = _Tables()
-    p.feed(html)
-    if not p.tables:
-        return ""
-    rows, grid = p.tables[0], {}
+def _grid(rows: list) -> dict[tuple[int, int], str]:
+    """(row, column) -> text of a table's rows, cells that span rows or columns repeated."""
+    grid: dict[tuple[int, int], str] = {}
     for y, row in enumerate(rows):
         x = 0
         for down, across, text in row:
             while (y, x) in grid:
                 x += 1
-            down = len(rows) - y if down == 0 else min(down, len(rows) - y)
+            down, across = len(rows) - y if down == 0 else min(down, len(rows) - y), max(1, across)
             if x + across > MOST_COLUMNS or len(grid) + down * across > MOST_CELLS:
                 raise ValueError("table too large")
-            value = re.sub(r"\s+", " ", text).strip().replace("|", "\\|")
+            value = re.sub(r"\s+", " ", text).strip()
             for i in range(y, y + down):
                 for j in range(x, x + across):
                     if (i, j) in grid:
                         raise ValueError("overlapping spans")
                     grid[i, j] = value
             x += across
+    return grid
+
+
+def table_markdown(html: str) -> str:
+    """The first table as Markdown; cells that span rows or columns are repeated. Overlapping spans, more than 1000 columns or
+    100,000 cells are errors; a row span of 0 reaches the last row."""
+    p = _Tables()
+    p.feed(html)
+    if not p.tables:
+        return ""
+    rows, grid = p.tables[0], _grid(p.tables[0])
     width = max((x for _, x in grid), default=-1) + 1
-    lines = ["| " + " | ".join(grid.get((y, x), "") for x in range(width)) + " |" for y in range(len(rows))]
+    cell = lambda y, x: grid.get((y, x), "").replace("|", "\\|")
+    lines = ["| " + " | ".join(cell(y, x) for x in range(width)) + " |" for y in range(len(rows))]
     return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]) if lines and width else ""
+
+
+@F.udtf(returnType="table int, row int, col int, text string, error string")
+class TableCells:
+    """A row for each cell of the grids of an HTML text's tables, all from 0, to be joined laterally. Cells that span rows or columns
+    have a row for each place they cover. A table that is too large or whose spans overlap has one row, with the error."""
+
+    def eval(self, html: str):
+        if html:
+            p = _Tables()
+            p.feed(html)
+            for n, rows in enumerate(p.tables):
+                try:
+                    for (y, x), text in sorted(_grid(rows).items()):
+                        yield n, y, x, text, None
+                except ValueError as e:
+                    yield n, None, None, None, str(e)
