@@ -69,7 +69,10 @@ class Spread:
         total = sizes.agg(F.sum("held")).first()[0] or 0
         bound = max(self.LEAST, total // 10_000)
         self.by = by
-        self.hot = settle(sizes.where(F.col("held") > bound).select("key", F.ceil(F.col("held") / bound).cast("int").alias("salts")), "hot-keys")
+        hot = sizes.where(F.col("held") > bound).select("key", F.ceil(F.col("held") / bound).cast("int").alias("salts"))
+        # a row that meets nothing: without hot keys the plan, and what its operators count, stays the same
+        none = sizes.sparkSession.range(1).select(F.lit(None).cast(sizes.schema["key"].dataType).alias("key"), F.lit(1).alias("salts"))
+        self.hot = settle(hot.unionByName(none), "hot-keys")
 
     def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
         """rows joined on key with table, whose keys are distinct."""
