@@ -173,7 +173,10 @@ def _chunks_of_page(text: str, least: int, most: int, overlap: int) -> list[dict
         found = found if found >= 0 else text.find(c["text"])
         if found < 0:  # white space, or marks between empty sentences, went in the splitting
             spaced, worded = r"\s+".join(map(re.escape, c["text"].split())), r"\W+".join(re.findall(r"\w+", c["text"]))
-            if m := re.search(spaced, text[at:]) or (re.search(worded, text[at:]) if worded else None):
+            m = re.search(spaced, text[at:])
+            if not m and worded and (m := re.search(worded, text[at:])) and len(m[0]) > most:
+                m = None
+            if m:
                 found, c["text"] = at + m.start(), m[0]
         c["char_start"], c["char_end"] = (found, found + len(c["text"])) if found >= 0 else (-1, -1)
         at = max(at, found + 1)

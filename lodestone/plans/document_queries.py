@@ -177,7 +177,7 @@ def c1_pages(spark, sf):
     apart = lambda kind: F.col("kind") == kind
     return c.groupBy("doc_id").agg(
         F.sum(F.length(F.regexp_replace("chunk", "[^A-Za-z0-9]", ""))).cast("long").alias("chars"), F.count_if((inside > 0) & ~apart("table") & ~apart("code")).alias("crossing"),
-        F.count_if(cut != F.col("chunk")).alias("displaced"), whole("table").alias("tables"), whole("code").alias("code"),
+        F.count_if((F.col("char_start") >= 0) & (cut != F.col("chunk"))).alias("displaced"), whole("table").alias("tables"), whole("code").alias("code"),
     )
 
 

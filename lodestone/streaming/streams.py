@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.term_index import TermIndex
 
 STATES = ["pending", "parsing", "chunking", "embedding", "completed"]
 
@@ -86,3 +88,77 @@ def next_state(state, failed):
     for a, b in zip(STATES, STATES[1:], strict=False):
         out = F.when(state == a, b).otherwise(out)
     return F.when(state.isin("completed", "failed"), state).when(failed, "failed").otherwise(out)
+
+
+class EventLog:
+    """Ordered logs in a folder of Parquet files: log, seq (from 1 without gaps in each log), at, payload."""
+
+    SCHEMA = "log string, seq long, at timestamp, payload string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def rows(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def append(self, events: DataFrame) -> None:
+        """Numbers events (log, at, payload) after what their logs hold, by time, then payload. One writer at a time."""
+        last = self.rows().groupBy("log").agg(F.max("seq").alias("last"))
+        n = F.row_number().over(W.partitionBy("log").orderBy("at", "payload"))
+        new = events.withColumn("n", n).join(last, "log", "left").select("log", (F.coalesce("last", F.lit(0)) + F.col("n")).alias("seq"), "at", "payload")
+        new.write.mode("append").parquet(self.folder)
+
+    def after(self, cursors: DataFrame) -> DataFrame:
+        """What each reader has not seen: rows of the logs of cursors (reader, log, after_seq; null: nothing seen) beyond them."""
+        asked = cursors.select("reader", "log", F.coalesce("after_seq", F.lit(0)).alias("after_seq"))
+        return self.rows().join(asked, "log").where("seq > after_seq").select("reader", "log", "seq", "at", "payload")
+
+    def advanced(self, cursors: DataFrame, seen: DataFrame) -> DataFrame:
+        """cursors moved to the last rows seen (reader, log, seq); they never go back."""
+        last = seen.groupBy("reader", "log").agg(F.max("seq").alias("seen"))
+        return cursors.join(last, ["reader", "log"], "left").select("reader", "log", F.greatest("after_seq", "seen").alias("after_seq"))
+
+    def stream(self, after: int = 0) -> DataFrame:
+        """The log as a stream, rows up to `after` left out; the checkpoint of the query that reads it is its cursor from then on."""
+        return self.spark.readStream.schema(self.SCHEMA).parquet(self.folder).where(F.col("seq") > after)
+
+
+def interrupted(documents: DataFrame) -> DataFrame:
+    """documents (state, error) as a restart leaves them: what was being worked on has failed and says so, so that it is submitted again;
+    what waits or has ended stays."""
+    cut = F.col("state").isin(STATES[1:-1])
+    return documents.withColumn("error", F.when(cut, F.concat(F.lit("interrupted while "), "state")).otherwise(F.col("error"))).withColumn("state", F.when(cut, "failed").otherwise(F.col("state")))
+
+
+def index_revisions(docs: DataFrame, index: str, revisions: str, checkpoint: str, parts: int = 16):
+    """A query that keeps a stored term index of docs (doc_id, text) as revisions of them arrive.
+
+    A revision is known by the hash of its text: documents whose hash is the one on record are passed over, others are replaced in the
+    index, and their hashes are recorded, in the folders of a hash of their ids, only once the index holds them. A query that stops
+    between the two replaces the same documents by the same texts when its batch comes again.
+    """
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        latest = batch.where("doc_id IS NOT NULL").withColumn("n", F.monotonically_increasing_id()).groupBy("doc_id").agg(F.max(F.struct("n", F.coalesce("text", F.lit("")).alias("text"))).alias("l"))
+        new = latest.select("doc_id", "l.text", F.sha2("l.text", 256).alias("revision"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")).persist()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(revisions)
+            there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+            held = [r["part"] for r in new.select("part").distinct().collect()]  # `parts` rows at most
+            known = spark.read.parquet(revisions).where(F.col("part").isin(held)).select("doc_id", "revision", "part") if there else new.select("doc_id", "revision", "part").limit(0)
+            changed = new.join(known, ["doc_id", "revision"], "left_anti")
+            if not TermIndex.exists(spark, index):
+                TermIndex.build(changed.limit(0).select("doc_id", "text"), index)
+            if changed.isEmpty():
+                return
+            TermIndex(spark, index).replace(changed.select("doc_id", "text"))
+            kept = known.join(changed.select("doc_id"), "doc_id", "left_anti").unionByName(changed.select("doc_id", "revision", "part"))
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(revisions)
+        finally:
+            new.unpersist()
+
+    return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking as C
-from lodestone.operators import citations as V
 from lodestone.operators import graph as H
 from lodestone.operators import metadata as M
 from lodestone.operators import routing as O
@@ -137,15 +136,6 @@ def test_chunks_lie_in_the_text():
         C.chunks("x", 1, 10, 10)
 
 
-def test_citations(spark):
-    answers = spark.createDataFrame([(1, "Revenue was 1,200 in 2024. [Source 1]\nCosts fell a lot [Source 2]"), (2, "nothing cited"), (3, "The profit was 9 [Source 1]")], "answer_id int, answer string")
-    sources = spark.createDataFrame([(1, 1, "revenue was 1200.0 in 2024"), (1, 2, "unrelated text"), (3, 1, "the profit was 8")], "answer_id int, n int, text string")
-    checked = V.verify(answers, sources)
-    got = {(r["answer_id"], r["cited"]): r for r in checked.collect()}
-    assert got[1, 1]["status"] == "supported" and got[1, 2]["status"] == "unsupported" and not got[3, 1]["numbers_ok"]
-    assert {r["answer_id"]: r["verdict"] for r in V.verdicts(answers, checked).collect()} == {1: "partial", 2: "no_citations", 3: "unsupported"}
-
-
 def test_metadata(spark):
     rows = spark.createDataFrame([(1, "财务部/2019-2024年报.pdf", "# 年度报告\n作者：张三\n2024年3月")], "doc_id int, filename string, text string")
     r = M.extract(rows).first()
@@ -203,19 +193,6 @@ def test_routing(spark):
     assert q.select(s).collect()[0][0] == "b"
 
 
-def test_citations_take_whole_documents(spark, tmp_path):
-    from lodestone.plans.document_queries import x26_citations
-
-    own = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron sigma upsilon omega " * 2
-    found = []
-    for tail in ("", own):  # answer 1 cites document 3, which supports it only by its end
-        rows = [(1, own), (3, "filler " * 400 + tail), (5, "odd and short")]
-        path = f"{tmp_path}/{len(tail)}"
-        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
-        found.append({r["answer_id"]: r for r in x26_citations(spark, path).collect()})
-    assert set(found[1]) == {1, 3, 5} and found[0][1] != found[1][1]
-
-
 def test_metadata_filters(spark):
     rows = [(1, ["Alpha"], None, "报告", 2024), (2, ["beta"], ["ALPHA"], None, None), (3, [], ["alpha", "x"], "报告", 2023), (4, None, None, "合同", 2024), (5, None, ["Alpha"], None, 2024), (None, ["Alpha"], None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id int, tags array<string>, keywords array<string>, doc_type string, doc_year int").withColumn("language", F.lit("zh"))
@@ -229,3 +206,55 @@ def test_metadata_filters(spark):
     assert found({"years": ["2024", "x", 2022], "doc_type": "报告"}, "strict") == [1] and found({"year": 2024, "doc_types": ["报告"]}, "lenient") == [1, 2, 5, None]
     assert found({"document_ids": [1, 4]}, "lenient") == [1, 4, None] and found({"document_ids": [1, 4]}, "strict") == [1, 4]
     assert found({"exclude_document_ids": 1, "tags": "Alpha"}, "strict") == [5, None] and found({}, "strict") == [1, 2, 3, 4, 5, None]
+
+
+def test_chunks_of_pages_and_protected_spans():
+    spans = C.Spans([(5, 9), (20, 30), (8, 12), (30, 31), (40, 40)])
+    assert list(zip(spans.begins, spans.ends, strict=True)) == [(5, 12), (20, 31)]
+    assert [at for at in range(45) if spans.cut_by(at)] == [*range(6, 12), *range(21, 31)]
+    table, code = "| a | b |\n| --- | --- |\n| 1 | 2 |", "```py\nx = 1\n\ny = 2\n```"
+    text = f"First page here.\n\n{table}\n\nMore text. And more.\n\n{code}\n\nLast."
+    for step in (7, 11, 23):
+        breaks = list(range(step, len(text), step))
+        got = C.chunks(text, 10, 60, 0, breaks=breaks)
+        kept = [b for b in breaks if not C.protected(text).cut_by(b)]
+        assert [c["text"] for c in got if c["kind"] == "table"] == [table] and [c["text"] for c in got if c["kind"] == "code"] == [code]
+        assert all(text[c["char_start"] : c["char_end"]] == c["text"] and not any(c["char_start"] < b < c["char_end"] for b in kept) for c in got)
+    assert C.budget(500) == 840 and C.budget(500, False) == 500 and C.smoothed("a. b. c.", 100) == ["a. b. c."]
+    long = "One sentence here. " * 30
+    assert all(len(p) <= 100 for p in C.smoothed(long, 100)) and " ".join(C.smoothed(long, 100)).split() == long.split()
+    assert C.smoothed("x" * 500, 100) == ["x" * 500]
+
+
+def test_table_function(spark):
+    html = "<table><tr><td colspan=2>a<br>b</td></tr><tr><td>c|d</td><td>e</td></tr></table><table><tr><td>a</td><td rowspan=2>b</td></tr><tr><td colspan=2>c</td></tr></table>"
+    rows = spark.createDataFrame([(1, html), (2, None), (3, "no table")], "id int, html string")
+    got = rows.lateralJoin(I.TableCells(F.col("html").outer())).collect()
+    assert [tuple(r)[2:] for r in got] == [(0, 0, 0, "a b", None), (0, 0, 1, "a b", None), (0, 1, 0, "c|d", None), (0, 1, 1, "e", None), (1, None, None, None, "overlapping spans")]
+
+
+def test_answers_and_ordinals(spark):
+    from lodestone.operators import scoring as N
+
+    q = spark.createDataFrame([("第二份文档", 2), ("第十个", 10), ("第十二篇", 12), ("第二十册", 20), ("第二十一份", 21), ("第 7 份", 7), ("第三章", None), ("没有", None), ("第零份", None)], "q string, want int")
+    assert all(r["got"] == r["want"] for r in q.withColumn("got", N.ordinal(F.col("q"))).collect())
+    cases = [
+        (1, "预算是 200 万元。", "200万元", None, None, True, None, True), (2, "预算是1200万元", "200万元", None, None, True, None, False), (3, "200万元，但无法确定", "200万元", None, None, True, None, False), (4, "没有相关资料", None, "refusal", None, True, None, True),
+        (5, "没有相关资料，约三十天", None, "refusal", None, True, None, False), (6, "需要核实：5万元或7万元", None, "conflict", ["a 5万元", "b 7万元"], True, None, True), (7, "需要核实：5万元", None, "conflict", ["5万元", "7万元"], True, None, False),
+        (8, "200万元", "200万元", None, None, False, None, False), (9, "200万元", "200万元", None, None, True, "boom", False), (10, None, "x", None, None, True, None, False), (11, "a.c", "a.c", None, None, True, None, True), (12, "abc", "a.c", None, None, True, None, False),
+    ]
+    rows = spark.createDataFrame(cases, "case_id int, answer string, truth string, kind string, evidence array<string>, done boolean, error string, want boolean")
+    got = {r["case_id"]: r["correct"] for r in N.answer_scores(rows).collect()}
+    assert got == {c[0]: c[-1] for c in cases}
+
+
+def test_cleaning_guards(spark):
+    from lodestone.operators import cleaning as L
+
+    body = "这是一段完全正常的中文技术文档内容。" * 20
+    docs = [(1, "a\u200bb\n\nc  "), (2, "abc"), (3, ""), (4, None), (5, body), (6, "one\n\ntwo"), (7, "x")]
+    pages = [(1, 1, 0, 3, "a\u200bb"), (1, 2, 5, 8, "c  "), (2, 1, 0, 9, "abc"), (3, 1, 0, 0, ""), (5, 1, 0, len(body), "short"), (6, 1, 0, 3, ""), (6, 2, 5, 8, None)]
+    whole, spans = L.clean_extraction(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(pages, "doc_id int, page int, char_start int, char_end int, text string"))
+    got = {r["doc_id"]: (r["text"], r["intact"], r["changed"]) for r in whole.collect()}
+    assert got == {1: ("ab\n\nc", True, True), 2: ("abc", False, False), 3: ("", False, False), 4: ("", False, False), 5: (body, False, False), 6: ("one\n\ntwo", False, False), 7: ("x", False, False)}
+    assert sorted((r["doc_id"], r["page"], r["char_start"], r["char_end"]) for r in spans.collect())[:2] == [(1, 1, 0, 2), (1, 2, 4, 5)]

@@ -36,3 +36,74 @@ def test_rate_limit_and_index(spark, tmp_path):
         spark.createDataFrame([(1, "new words")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
         time.sleep(0.1)
     assert {r["doc_id"]: r["terms"] for r in spark.read.parquet(target).collect()} == {1: "new words", 2: "c"}
+
+
+def test_log_and_cursors(spark, tmp_path):
+    log = K.EventLog(spark, str(tmp_path / "log"))
+    events = lambda *rows: spark.createDataFrame(rows, "log string, t string, payload string").selectExpr("log", "cast(t AS timestamp) AS at", "payload")
+    log.append(events(("a", "2024-01-01 00:00:02", "second"), ("a", "2024-01-01 00:00:01", "first"), ("b", "2024-01-01", "x")))
+    log.append(events(("a", "2023-01-01", "third"), ("c", "2024-01-01", "y")))
+    assert sorted((r["log"], r["seq"], r["payload"]) for r in log.rows().collect()) == [("a", 1, "first"), ("a", 2, "second"), ("a", 3, "third"), ("b", 1, "x"), ("c", 1, "y")]
+    cursors = spark.createDataFrame([("r1", "a", 2), ("r2", "a", None), ("r1", "b", 1)], "reader string, log string, after_seq long")
+    seen = log.after(cursors)
+    assert sorted((r["reader"], r["log"], r["seq"]) for r in seen.collect()) == [("r1", "a", 3), ("r2", "a", 1), ("r2", "a", 2), ("r2", "a", 3)]
+    moved = log.advanced(cursors, seen)
+    assert sorted((r["reader"], r["log"], r["after_seq"]) for r in moved.collect()) == [("r1", "a", 3), ("r1", "b", 1), ("r2", "a", 3)] and log.after(moved).isEmpty()
+
+    def read():
+        q = log.stream(after=1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r["log"], r["seq"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert read() == [("a", 2), ("a", 3)]
+    log.append(events(("b", "2025-01-01", "later")))  # while no query runs
+    assert read() == [("a", 2), ("a", 3), ("b", 2)]
+
+
+def test_restart_marks_interrupted_work(spark):
+    rows = spark.createDataFrame([(i, s, None) for i, s in enumerate([*K.STATES, "failed"])], "id int, state string, error string")
+    assert [(r["state"], r["error"]) for r in K.interrupted(rows).orderBy("id").collect()] == [
+        ("pending", None), ("failed", "interrupted while parsing"), ("failed", "interrupted while chunking"), ("failed", "interrupted while embedding"), ("completed", None), ("failed", None),
+    ]
+
+
+def test_index_of_revisions_survives_a_stop(spark, tmp_path, monkeypatch):
+    from lodestone.operators.term_index import TermIndex
+
+    source, paths = str(tmp_path / "in"), [str(tmp_path / p) for p in ("index", "revisions", "ck")]
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        q = K.index_revisions(spark.readStream.schema("doc_id long, text string").parquet(source), *paths).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    held = lambda: sorted((r["doc_id"], r["term"]) for r in TermIndex(spark, paths[0]).all().collect())
+    arrive((1, "alpha beta"), (2, "gamma"), (None, "lost"))
+    run()
+    assert held() == [(1, "alpha"), (1, "beta"), (2, "gamma")]
+    generations = len(TermIndex(spark, paths[0]).totals())
+    arrive((1, "alpha beta"))  # an unchanged revision
+    run()
+    assert len(TermIndex(spark, paths[0]).totals()) == generations
+    arrive((2, "delta"), (3, "alpha"))
+    real = TermIndex.replace
+
+    def stops(self, docs):
+        real(self, docs)
+        raise RuntimeError("stopped before the hashes were recorded")
+
+    with monkeypatch.context() as m:
+        m.setattr(TermIndex, "replace", stops)
+        try:
+            run()
+        except Exception:
+            pass
+    run()
+    assert held() == [(1, "alpha"), (1, "beta"), (2, "delta"), (3, "alpha")] and TermIndex(spark, paths[0]).size()[0] == 3
+    assert spark.read.parquet(paths[1]).count() == 3
