@@ -209,3 +209,27 @@ def support_of(pairs: DataFrame, key: str) -> DataFrame:
     want = pairs.select(key, F.explode(T.tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
     part = want.join(have, [key, "token"], "left").groupBy(key).agg((F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("support"))
     return pairs.select(key).join(part, key, "left").withColumn("support", F.round(F.coalesce("support", F.lit(0.0)), 6))
+
+
+def hydrated(hits: DataFrame, parents: DataFrame) -> DataFrame:
+    """hits (document_id, parent_id, parent_text) with the text of their parent, where they have none, from parents (parent_id,
+    document_id, text; distinct). A parent must be of the hit's own document; hits without one stay as they are."""
+    p = parents.select("parent_id", "document_id", F.col("text").alias("__text"))
+    return hits.join(p, ["parent_id", "document_id"], "left").withColumn("parent_text", F.coalesce("parent_text", "__text")).drop("__text").select(*hits.columns)
+
+
+def ranking_texts(hits: DataFrame, bridges: DataFrame, most: int = 2, chars: int = 600) -> DataFrame:
+    """hits (query_id, document_id, chunk_index, text) with ranking_text: the text after the quotes of its bridges (query_id, document_id,
+    chunk_index, at, from_document, from_chunk, quote) whose own chunk is a hit too, of the first `most` bridges, `chars` of each."""
+    key = ["query_id", "document_id", "chunk_index"]
+    first = bridges.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy("at"))).where(F.col("__n") <= most)
+    seen = hits.select("query_id", F.col("document_id").alias("from_document"), F.col("chunk_index").alias("from_chunk")).distinct()
+    quotes = first.join(seen, ["query_id", "from_document", "from_chunk"], "left_semi").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.substring("quote", 1, chars).alias("q")))), lambda s: s["q"]).alias("quotes"))
+    rows = hits.join(quotes, key, "left")
+    return rows.withColumn("ranking_text", F.array_join(F.concat(F.coalesce("quotes", F.array().cast("array<string>")), F.array(F.coalesce("text", F.lit("")))), "\n")).drop("quotes")
+
+
+def good_enough(queries: DataFrame, hits: DataFrame, least: float = 0.05) -> DataFrame:
+    """query_id, good: whether the best score of a query's hits reaches `least`; not so without hits."""
+    best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce(F.col("best") >= least, F.lit(False)).alias("good"))
