@@ -70,8 +70,8 @@ class Spread:
         bound = max(self.LEAST, total // 10_000)
         self.by = by
         hot = sizes.where(F.col("held") > bound).select("key", F.ceil(F.col("held") / bound).cast("int").alias("salts"))
-        # a row that meets nothing: without hot keys the plan, and what its operators count, stays the same
-        none = sizes.sparkSession.range(1).select(F.lit(None).cast(sizes.schema["key"].dataType).alias("key"), F.lit(1).alias("salts"))
+        # and one key that is not hot: so that without hot keys the plan, and what its operators count, stays the same
+        none = sizes.where(F.col("held") <= bound).select("key", F.lit(1).alias("salts")).limit(1)
         self.hot = settle(hot.unionByName(none), "hot-keys")
 
     def join(self, rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
