@@ -317,7 +317,7 @@ legs AS (SELECT query_id, doc_id, rank, score, NULL AS kw FROM vr UNION ALL SELE
 m AS (SELECT query_id, doc_id, coalesce(max(score), 0.3) AS score, min(kw) AS kw_rank, round(sum(1 / (60.0 + rank)), 9) AS rrf FROM legs GROUP BY ALL),
 sv AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM m) WHERE (score >= 0.3 AND round(top - score, 9) <= 0.05) OR coalesce(kw_rank <= 5, false) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) <= 20),
 rr AS (SELECT sv.query_id, doc_id, any_value(text) AS text, max(CASE WHEN len({TOK.format('qk.query')}) = 0 THEN greatest(0, least(1, score)) ELSE 0.7 * len(list_intersect(list_distinct({TOK.format('qk.query')}), list_distinct({TOK.format('text')}))) / len(list_distinct({TOK.format('qk.query')})) + 0.3 * greatest(0, least(1, score)) END) AS s FROM sv JOIN qk ON qk.query_id = sv.query_id AND kind <> 'hyde' JOIN documents USING (doc_id) GROUP BY sv.query_id, doc_id),
-r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 END AS parent FROM (SELECT query_id, doc_id, text, round(s, 6) AS s FROM rr) QUALIFY rank <= 7),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank, CASE WHEN doc_id % 4 > 0 THEN doc_id % 9 END AS parent FROM (SELECT query_id, doc_id, text, round(s, 9) AS s FROM rr) QUALIFY rank <= 7),
 pm AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent ORDER BY rank) AS pn FROM r1 QUALIFY parent IS NULL OR pn <= 2),
 pd AS (SELECT query_id, doc_id, text, CASE WHEN parent IS NULL THEN s ELSE round(s * pow(0.85, pn - 1), 9) END AS s FROM pm),
 tw AS (SELECT query_id, doc_id, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS k, round(CASE WHEN reasons <> '' THEN s * (0.85 + 0.15 * trust) ELSE s END, 6) AS s FROM pd JOIN tr_ust USING (doc_id) WHERE trust >= 0.3),

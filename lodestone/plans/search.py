@@ -99,7 +99,7 @@ class Corpus:
         hits = R.survivors(fused, k, FLOOR, gap, CANDIDATES).select("query_id", F.col("key").alias("doc_id"), F.col("score").alias("prior"))
         hits = hits.join(self.docs.select("doc_id", "text", "parent_id", *EVIDENCE), "doc_id")
         asked = R.heuristic_rerank(hits.select("query_id", "doc_id", "text", F.col("prior").alias("score")).join(sets.where("kind <> 'hyde'").select("query_id", "query"), "query_id"))
-        best = asked.groupBy("query_id", "doc_id").agg(F.round(F.max(_sound(F.col("rerank"))), 6).alias("score"))
+        best = asked.groupBy("query_id", "doc_id").agg(F.round(F.max(_sound(F.col("rerank"))), 9).alias("score"))
         hits = R.ranked(hits.join(best, ["query_id", "doc_id"]), ["query_id"], [F.desc("score"), F.col("doc_id")], min(k + k // HEADROOM, max(k, CANDIDATES)))
         hits = R.parent_decay(R.max_per_parent(hits, per_parent))
         hits = hits.withColumn("trust", T.trust(*(F.col(c) for c in ("text", *EVIDENCE)))).where(F.col("trust.score") >= least_trust)
