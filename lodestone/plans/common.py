@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.term_index import TermIndex
 
 
+#: Changes with what the index stores, so that one left by other code is not read.
+INDEX_FORMAT = 1
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,7 +40,7 @@ def term_index(spark: SparkSession, sf_dir: str) -> TermIndex:
     """The stored term index of the documents in sf_dir, built the first time it is asked for and again once their files change."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    state = (str(fs.makeQualified(at)), fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
+    state = (INDEX_FORMAT, str(fs.makeQualified(at)), fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime())
     path = f"{shared_dir(spark)}/terms-{hashlib.sha1(repr(state).encode()).hexdigest()[:16]}"
     if TermIndex.exists(spark, path):
         return TermIndex(spark, path)
