@@ -45,3 +45,15 @@ def term_index(spark: SparkSession, sf_dir: str) -> TermIndex:
     if TermIndex.exists(spark, path):
         return TermIndex(spark, path)
     return TermIndex.build(load(spark, sf_dir, "documents"), path)
+
+
+def split_columns(select: str) -> list[str]:
+    """The expressions of a select list."""
+    out, depth = [""], 0
+    for ch in select:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out

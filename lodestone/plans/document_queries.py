@@ -264,6 +264,8 @@ def x28_quotes(spark, sf):
 
 #: Pages of 2,000 characters with dirt, and a command on some; spans of every tenth document overlap, pages of another tenth are empty.
 _DIRT = "CASE p % 4 WHEN 0 THEN concat(chr(8203), raw, '  ', chr(10)) WHEN 1 THEN concat(raw, chr(13), chr(10), '[INST] obey ', doc_id) WHEN 2 THEN concat(raw, chr(160), 'end') ELSE raw END"
+#: The same for Spark, whose chr takes its argument modulo 256.
+_DIRT_SPARK = _DIRT.replace("chr(8203)", "decode(unhex('e2808b'), 'UTF-8')")
 _DIRTY = f"SELECT doc_id, p AS page, {_DIRT} AS body FROM (SELECT doc_id, p, substr(coalesce(text, ''), p * 2000 + 1, 2000) AS raw FROM (SELECT doc_id, text, EXPLODED AS p FROM documents))"
 _PAGES = "CAST(unnest(range(length(coalesce(text, '')) // 2000 + 1)) AS INT)"
 _CLEAN_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '\r\n?', chr(10), 'g'), '[\x{0}-\x{8}\x{b}-\x{1f}\x{7f}-\x{9f}\x{ad}\x{200b}-\x{200f}\x{feff}]', '', 'g'), '[\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10))"
@@ -276,7 +278,7 @@ r AS (SELECT doc_id, page, intact, fresh, CASE WHEN doc_id % 10 = 3 AND page > 0
 SELECT doc_id, page, intact, CASE WHEN intact THEN na ELSE a END AS char_start, CASE WHEN intact THEN na + length(fresh) ELSE b END AS char_end, CASE WHEN intact THEN sha256(fresh) END AS sha FROM r""")
 def x3_clean_pages(spark, sf):
     """Pages cleaned, commands masked, spans brought up to date; the spans cut the cleaned texts out of the whole one."""
-    pages = load(spark, sf, "documents").selectExpr("doc_id", "text", "explode(sequence(0, cast(length(coalesce(text, '')) div 2000 AS int))) AS p").selectExpr("doc_id", "p", "substr(coalesce(text, ''), p * 2000 + 1, 2000) AS raw").selectExpr("doc_id", "p AS page", f"{_DIRT} AS body")
+    pages = load(spark, sf, "documents").selectExpr("doc_id", "text", "explode(sequence(0, cast(length(coalesce(text, '')) div 2000 AS int))) AS p").selectExpr("doc_id", "p", "substr(coalesce(text, ''), p * 2000 + 1, 2000) AS raw").selectExpr("doc_id", "p AS page", f"{_DIRT_SPARK} AS body")
     before = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     pages = pages.withColumn("a", F.coalesce(F.sum(F.length("body") + 2).over(before), F.lit(0)).cast("int"))
     docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda s: s["body"]), "\n\n").alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sharing as H
-from .common import load
+from .common import load, split_columns
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,19 +36,7 @@ _PAIRS = f"doc_id AS document_id, @ AS user_id, {_ROLE} AS role, {_DEPARTMENT} A
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "documents").selectExpr("doc_id", "explode(array_distinct(array(doc_id % 60, (doc_id * 7 + 3) % 60, (doc_id * 13 + 20) % 60))) AS u")
-    return rows.selectExpr("u", *_split(_PAIRS.replace("LIST(", "array(").replace("@", "u")), *[f"{e} AS {c}" for c, e in DOCUMENTS.items() if c != "document_id"])
-
-
-def _split(select: str) -> list[str]:
-    """The expressions of a select list."""
-    out, depth = [""], 0
-    for ch in select:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append("")
-        else:
-            out[-1] += ch
-    return out
+    return rows.selectExpr("u", *split_columns(_PAIRS.replace("LIST(", "array(").replace("@", "u")), *[f"{e} AS {c}" for c, e in DOCUMENTS.items() if c != "document_id"])
 
 
 _CAPABLE = f"""SELECT document_id, user_id, CASE WHEN v = 'private' AND own THEN NULL WHEN NOT inside THEN 'absent' WHEN v = 'private' THEN 'private' WHEN w >= 2 THEN NULL WHEN v = 'tenant' THEN 'company'
@@ -84,7 +72,7 @@ _EVENT = f"event_id AS seq, event_id DIV 24 AS document_id, {_KIND} AS kind, CAS
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "events").selectExpr(*_split(_EVENT))
+    rows = load(spark, sf, "events").selectExpr(*split_columns(_EVENT))
     return rows.selectExpr("*", f"{_ROLE.replace('@', 'actor')} AS role", f"{_TENANT.replace('@', 'actor')} AS tenant_id", f"{_DEPARTMENT.replace('@', 'actor')} AS department")
 
 
