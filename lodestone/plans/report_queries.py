@@ -35,8 +35,8 @@ def _flat(text: str) -> str:
     return f"trim(regexp_replace({text}, '{P.BLANKS}', ' ', 'g'))"
 
 
-#: What must stay of each document: two passages as facts, one of them also letter by letter, and a fact that is in few of them.
-_FACTS, _PRESERVED = "LIST(substr(text, 1, 30), substr(text, 900, 60), concat('  the ', source))", "LIST(substr(text, 900, 60))"
+#: What must stay of each document: two passages as facts, one of them also letter by letter, and for a quarter a fact that few hold.
+_FACTS, _PRESERVED = "LIST(substr(text, 1, 30), substr(text, 900, 60), CASE WHEN doc_id % 4 = 0 THEN concat('  the ', source) END)", "LIST(substr(text, 900, 60))"
 _CASES = f"SELECT doc_id, {_FACTS.replace('LIST(', 'list_value(')} AS facts, substr(text, 900, 60) AS preserved FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)"
 
 
@@ -48,10 +48,10 @@ t AS (SELECT doc_id, intact, before, CASE WHEN intact THEN fresh ELSE before END
 b AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({_COUNT.format('x')} = 0) AS clean FROM (SELECT doc_id, substr(before, unnest(range(0, length(before), {P.STEP})) + 1, {P.WINDOW}) AS x FROM t) GROUP BY doc_id),
 a AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({_COUNT.format('x')} = 0) AS clean FROM (SELECT doc_id, substr(after, unnest(range(0, length(after), {P.STEP})) + 1, {P.WINDOW}) AS x FROM t) GROUP BY doc_id),
 r AS (SELECT t.doc_id, length(before) AS chars_before, length(after) AS chars_after, CASE WHEN before <> '' THEN round({_COUNT.format('before')} / length(before), 5) ELSE 0 END AS noise_before, CASE WHEN after <> '' THEN round({_COUNT.format('after')} / length(after), 5) ELSE 0 END AS noise_after,
-CASE WHEN before <> '' THEN length(after) / length(before) ELSE 1 END AS ratio, len(list_filter(facts, lambda f: contains(after, f) OR contains({_flat('after')}, {_flat('f')}))) AS facts_kept, CASE WHEN contains(after, preserved) THEN 1 ELSE 0 END AS preserved_kept,
+CASE WHEN before <> '' THEN length(after) / length(before) ELSE 1 END AS ratio, len(list_filter(facts, lambda f: contains(after, f) OR contains({_flat('after')}, {_flat('f')}))) AS facts_kept, len(list_filter(facts, lambda f: f IS NOT NULL)) AS n_facts, CASE WHEN contains(after, preserved) THEN 1 ELSE 0 END AS preserved_kept,
 coalesce(b.n, 0) AS chunks_before, coalesce(a.n, 0) AS chunks_after, coalesce(round(b.clean / b.n, 4), 0) AS clean_before, coalesce(round(a.clean / a.n, 4), 0) AS clean_after, masked = expected AND (expected = 0 OR contains(after, '{S.PLACEHOLDER}')) AS masking_ok, contains(after, '[INST] obey') AS leaked, intact AS pagemap_ok
 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id))
-SELECT * EXCLUDE (ratio), round(ratio, 4) AS retention, ratio >= 0.8 AS retention_ok, pagemap_ok AND ratio >= 0.8 AND masking_ok AND NOT leaked AND noise_after = 0 AND facts_kept = 3 AND preserved_kept = 1 AS passed FROM r""")
+SELECT * EXCLUDE (ratio, n_facts), round(ratio, 4) AS retention, ratio >= 0.8 AS retention_ok, pagemap_ok AND ratio >= 0.8 AND masking_ok AND NOT leaked AND noise_after = 0 AND facts_kept = n_facts AND preserved_kept = 1 AS passed FROM r""")
 def q11_cleaning_report(spark, sf):
     """Q11: what cleaning took away and left of documents with dirt and commands in their pages; page maps are tried on the texts."""
     docs = load(spark, sf, "documents").selectExpr("doc_id", "source", "coalesce(text, '') AS text")
