@@ -16,7 +16,8 @@ BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 
 
 def noise(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, NOISE, ""))
+    """How many characters of noise a text holds; most others are told by one range, before the class is tried."""
+    return F.regexp_count(text, F.lit(f"(?![ -~\n])[{NOISE}]"))
 
 
 def _rate(part: Column, whole: Column, places: int) -> Column:
@@ -33,7 +34,7 @@ def clean_windows(text: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANKS, " "))
+    return F.trim(F.regexp_replace(text, "(?![!-~])" + BLANKS, " "))
 
 
 def cleaning_report(cases: DataFrame) -> DataFrame:
@@ -69,10 +70,11 @@ def page_maps(whole: DataFrame, spans: DataFrame, pages: DataFrame, key: str = "
     whole: key, text, intact. spans: key, page, char_start, char_end. pages: key, page, text before cleaning. A page without a span
     fails its text.
     """
-    own = pages.select(key, "page", S.masked(X.clean(F.coalesce("text", F.lit(""))))["text"].alias("__own"))
-    cut = F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    rows = own.join(spans, [key, "page"], "left").join(whole.select(key, "text", "intact"), key)
-    return rows.groupBy(key).agg(F.min(F.col("intact") & F.coalesce(cut == F.col("__own"), F.lit(False))).alias("pagemap_ok"))
+    own = pages.select(key, "page", X.clean(F.coalesce("text", F.lit(""))).alias("__tidy")).select(key, "page", S.masked(F.col("__tidy"))["text"].alias("__own"))
+    rows = own.join(spans, [key, "page"], "left").groupBy(key).agg(F.collect_list(F.struct("char_start", "char_end", "__own")).alias("__maps"))
+    cut = lambda m: F.substr("text", m["char_start"] + 1, m["char_end"] - m["char_start"])
+    fits = F.forall("__maps", lambda m: F.coalesce(cut(m) == m["__own"], F.lit(False)))
+    return rows.join(whole.select(key, "text", "intact"), key).select(key, (F.col("intact") & fits).alias("pagemap_ok"))
 
 
 def reachable_names(documents: DataFrame, views: DataFrame, scope: A.Scope) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators import verification as V
 from ..sources import files as I
 from ..sources import tables as B
 from ..streaming import streams as K
-from .common import load, term_index
+from .common import load, settle, term_index
 from .retrieval_queries import ASKED_SQL, BM25_SQL, asked
 
 QUERIES: dict = {}
@@ -283,10 +283,9 @@ def x3_clean_pages(spark, sf):
     pages = pages.withColumn("a", F.coalesce(F.sum(F.length("body") + 2).over(before), F.lit(0)).cast("int"))
     docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda s: s["body"]), "\n\n").alias("text"))
     spans = pages.selectExpr("doc_id", "page", "CASE WHEN doc_id % 10 = 3 AND page > 0 THEN a - 3 ELSE a END AS char_start", "cast(a + length(body) AS int) AS char_end", "CASE WHEN doc_id % 10 = 7 THEN '' ELSE body END AS text")
-    whole, now = L.clean_extraction(docs, spans)
-    rows = now.join(whole, "doc_id")
-    own = F.substr("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return rows.select("doc_id", "page", "intact", "char_start", "char_end", F.when(F.col("intact"), F.sha2(own, 256)).alias("sha"))
+    whole, now = L.clean_extraction(docs, spans, settle=settle)
+    rows = L.cut(whole, now).select("doc_id", "intact", F.explode("cuts").alias("c"))
+    return rows.select("doc_id", "c.page", "intact", "c.char_start", "c.char_end", F.when(F.col("intact"), F.sha2("c.own", 256)).alias("sha"))
 
 
 _CODE = "concat(chr(10), '  ```py', chr(10), 'x  =  1', chr(10), chr(10), '```  ', chr(10), 'a TAIL b')"

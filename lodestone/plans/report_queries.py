@@ -11,7 +11,7 @@ from ..operators import reports as P
 from ..operators import security as S
 from . import acl_queries as Q
 from . import document_queries as D
-from .common import load, split_columns, term_index
+from .common import load, settle, split_columns, term_index
 from .retrieval_queries import BM25_SQL, asked
 
 QUERIES: dict = {}
@@ -61,7 +61,7 @@ def q11_cleaning_report(spark, sf):
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "body"))), lambda s: s["body"]), "\n\n")
     full = pages.groupBy("doc_id").agg(joined.alias("text"), F.count_if(F.col("page") % 4 == 1).alias("expect_masked"))
     given = pages.selectExpr("doc_id", "page", "CASE WHEN doc_id % 10 = 3 AND page > 0 THEN a - 3 ELSE a END AS char_start", "cast(a + length(body) AS int) AS char_end", "CASE WHEN doc_id % 10 = 7 THEN '' ELSE body END AS text")
-    whole, spans = L.clean_extraction(full.select("doc_id", "text"), given)
+    whole, spans = L.clean_extraction(full.select("doc_id", "text"), given, settle=settle)
     facts = docs.selectExpr("doc_id", f"{_FACTS.replace('LIST(', 'array(')} AS facts", f"{_PRESERVED.replace('LIST(', 'array(')} AS preserved", "array('[INST] obey', chr(7)) AS forbidden", "cast(null AS double) AS least")
     cases = full.withColumnRenamed("text", "before").join(whole.select("doc_id", F.col("text").alias("after"), "masked"), "doc_id").join(P.page_maps(whole, spans, given), "doc_id", "left").join(facts, "doc_id")
     return P.cleaning_report(cases).drop("before", "after", "facts", "preserved", "forbidden", "least", "masked", "expect_masked")
