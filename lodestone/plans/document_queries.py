@@ -378,7 +378,7 @@ def st_sessions(spark, sf):
 
 #: Answers by doc_id: right, within a longer number, withdrawn, refused well and badly, conflicts told and settled, not done.
 _CASE = "doc_id % 12"
-_ANSWERS = f"CASE {_CASE} WHEN 0 THEN concat('预算为 ', n_chars, ' 万元。', t) WHEN 1 THEN concat('预算为 1', n_chars, '万元。', t) WHEN 2 THEN concat('预算为 ', n_chars, '万元，但无法确认') WHEN 3 THEN concat('没有相关资料。', t) WHEN 4 THEN '没有相关资料，大约三十天' WHEN 5 THEN concat('需要核实：有', n_chars, '万元与7万元') WHEN 6 THEN concat('需要核实：有', n_chars, '万元') WHEN 7 THEN concat('需核实 ', n_chars, '万元、7万元，最终预算为7万元') WHEN 8 THEN concat('预算为', n_chars, '万元') WHEN 9 THEN t WHEN 10 THEN concat('A-', doc_id, ' is', t) ELSE concat(t, ' A-', doc_id, '9') END"
+_ANSWERS = f"CASE {_CASE} WHEN 0 THEN concat('预算为 ', n_chars, ' 万元。', t) WHEN 1 THEN concat('预算为 1', n_chars, '万元。', t) WHEN 2 THEN concat('预算为 ', n_chars, '万元，但无法确认') WHEN 3 THEN concat('没有相关资料。', t) WHEN 4 THEN '没有相关资料，大约三十天' WHEN 5 THEN concat('需要核实：有', n_chars, '万元与', n_chars + 1, '万元') WHEN 6 THEN concat('需要核实：有', n_chars, '万元') WHEN 7 THEN concat('需核实 ', n_chars, '万元、', n_chars + 1, '万元，最终预算为7万元') WHEN 8 THEN concat('预算为', n_chars, '万元') WHEN 9 THEN t WHEN 10 THEN concat('A-', doc_id, ' is', t) ELSE concat(t, ' A-', doc_id, '9') END"
 _KINDS = f"CASE WHEN {_CASE} IN (3, 4) THEN 'refusal' WHEN {_CASE} IN (5, 6, 7) THEN 'conflict' ELSE 'literal' END"
 _TRUTHS = f"CASE WHEN {_CASE} < 3 OR {_CASE} IN (8, 9) THEN concat(n_chars, '万元') WHEN {_CASE} > 9 THEN concat('A-', doc_id) END"
 
@@ -387,7 +387,7 @@ _TRUTHS = f"CASE WHEN {_CASE} < 3 OR {_CASE} IN (8, 9) THEN concat(n_chars, '万
 def e11_answer_scores(spark, sf):
     """Answers against their cases, one of each rule and of each way to fail it."""
     rows = load(spark, sf, "documents").selectExpr("doc_id", "n_chars", "translate(coalesce(text, ''), '0123456789', 'abcdefghij') AS t")
-    rows = rows.selectExpr("doc_id AS case_id", f"{_ANSWERS} AS answer", f"{_TRUTHS} AS truth", f"{_KINDS} AS kind", "array(concat('甲 ', n_chars, '万元'), '乙 7万元') AS evidence", f"{_CASE} <> 8 AS done", "cast(NULL AS string) AS error")
+    rows = rows.selectExpr("doc_id AS case_id", f"{_ANSWERS} AS answer", f"{_TRUTHS} AS truth", f"{_KINDS} AS kind", "array(concat('甲 ', n_chars, '万元'), concat('乙 ', n_chars + 1, '万元')) AS evidence", f"{_CASE} <> 8 AS done", "cast(NULL AS string) AS error")
     return N.answer_scores(rows)
 
 
