@@ -60,7 +60,8 @@ def remember(store: DataFrame, said: DataFrame) -> DataFrame:
     """store after a batch of said (tenant_id, user_id, kind, content, at).
 
     store: tenant_id, user_id, content, kind, version, created_at, updated_at, revoked_at. The same content of one user is one living
-    row: saying it again adds to its version, as often as it is said, and moves updated_at; its first kind stays. A revoked row is
+    row: saying it again adds to its version, as often as it is said, and moves updated_at; its first kind stays. Batches may come in any
+    order of time: the earliest and the latest saying count, whenever they arrive. A revoked row is
     history and is never touched; saying it anew makes a new row. What has no user or is not fit to be kept is passed over.
     """
     fresh = said.where("user_id IS NOT NULL").select(F.coalesce("tenant_id", F.lit("default")).alias("tenant_id"), "user_id", sanitized(F.col("content")).alias("content"), kind_of(F.col("kind")).alias("kind"), "at").where("content IS NOT NULL")
@@ -68,8 +69,8 @@ def remember(store: DataFrame, said: DataFrame) -> DataFrame:
     keys = ["tenant_id", "user_id", "content"]
     living = store.where("revoked_at IS NULL").join(fresh, keys, "full")
     merged = living.select(
-        *keys, F.coalesce("kind", "first.kind").alias("kind"), (F.coalesce("version", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("version"), F.coalesce("created_at", "first.at").alias("created_at"),
-        F.coalesce("last", "updated_at").alias("updated_at"), "revoked_at",
+        *keys, F.when(F.col("first.at") < F.col("created_at"), F.col("first.kind")).otherwise(F.coalesce("kind", "first.kind")).alias("kind"), (F.coalesce("version", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int").alias("version"),
+        F.least("created_at", "first.at").alias("created_at"), F.greatest("last", "updated_at").alias("updated_at"), "revoked_at",
     )
     return merged.unionByName(store.where("revoked_at IS NOT NULL").select(*merged.columns))
 
