@@ -100,16 +100,22 @@ def seeds(queries: DataFrame, entities: DataFrame, name: str = "name", kind: str
 
 def expand(start: DataFrame, edges: DataFrame, hops: int = 2, most: int = 50) -> DataFrame:
     """query_id, edge_id, hop: edges reached from seeds (query_id, name, kind) in two undirected, typed hops at most; the first
-    `most` of a query by hop, then edge_id. edges: edge_id, subject, subject_type, object, object_type."""
-    ends = edges.select("edge_id", F.col("subject").alias("name"), F.col("subject_type").alias("kind")).unionByName(edges.select("edge_id", F.col("object").alias("name"), F.col("object_type").alias("kind")))
+    `most` of a query by hop, then edge_id. edges: edge_id, subject, subject_type, object, object_type.
+
+    Of a vertex's edges only the first 2 * most - 1 are walked: a query with fewer than `most` edges in its first hop has that many
+    to leave out at most, and one with more needs no second hop. So the work grows with the queries, not with pairs of edges.
+    """
+    ends = edges.select("edge_id", F.col("subject").alias("name"), F.col("subject_type").alias("kind")).unionByName(edges.select("edge_id", F.col("object").alias("name"), F.col("object_type").alias("kind"))).distinct()
+    walked = ends.withColumn("__n", F.row_number().over(W.partitionBy("name", "kind").orderBy("edge_id"))).where(F.col("__n") <= 2 * most - 1).drop("__n")
     frontier, found = start.select("query_id", "name", "kind").distinct(), None
     for hop in range(1, min(hops, 2) + 1):
-        reached = frontier.join(ends, ["name", "kind"]).select("query_id", "edge_id").distinct()
+        reached = frontier.join(walked, ["name", "kind"]).select("query_id", "edge_id").distinct()
         if found is not None:
             reached = reached.join(found.select("query_id", "edge_id"), ["query_id", "edge_id"], "left_anti")
-        reached = reached.withColumn("hop", F.lit(hop))
+        reached = reached.withColumn("__n", F.row_number().over(W.partitionBy("query_id").orderBy("edge_id"))).where(F.col("__n") <= most).drop("__n").withColumn("hop", F.lit(hop))
         found = reached if found is None else found.unionByName(reached)
-        frontier = reached.join(ends, "edge_id").select("query_id", "name", "kind").distinct()
+        few = reached.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("query_id"))).where(F.col("__n") < most)
+        frontier = few.join(ends, "edge_id").select("query_id", "name", "kind").distinct()
     n = F.row_number().over(W.partitionBy("query_id").orderBy("hop", "edge_id"))
     return found.withColumn("n", n).where(F.col("n") <= most).drop("n")
 

@@ -288,3 +288,25 @@ def test_conflicts_hold_two_amounts_whatever_a_text_is_long(spark, tmp_path):
 
     spark.createDataFrame([(5, "abc def", 7), (17, "abc", 3), (7, "abc def", 7), (6, "abc def", 7)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r["case_id"]: r["correct"] for r in D.e11_answer_scores(spark, str(tmp_path)).collect()} == {5: True, 17: True, 7: False, 6: False}
+
+
+def test_expansion_walks_few_edges_of_a_hub(spark):
+    n, most = 300, 5
+    rows = [(i, f"s{i}", "x", f"hub{i % 2}", "x") for i in range(n)] + [(n + i, f"hub{i}", "x", "top", "x") for i in range(2)] + [(n + 10 + i, "s7", "x", f"y{i}", "x") for i in range(most)]
+    edges = spark.createDataFrame(rows, "edge_id long, subject string, subject_type string, object string, object_type string")
+    start = spark.createDataFrame([(i, f"s{i}", "x") for i in range(n)] + [(1000, "hub0", "x"), (1000, "s1", "x")], "query_id long, name string, kind string")
+    touched = {}
+    for e, a, _, b, _ in rows:
+        for v in (a, b):
+            touched.setdefault(v, set()).add(e)
+    ends, want = {e: (a, b) for e, a, _, b, _ in rows}, set()
+    seeds = {}
+    for q, name, _ in [tuple(r) for r in start.collect()]:
+        seeds.setdefault(q, set()).add(name)
+    for q, names in seeds.items():
+        one = set().union(*(touched[v] for v in names))
+        two = set().union(*(touched[v] for e in one for v in ends[e])) - one
+        want |= {(q, e, h) for h, e in sorted([(1, e) for e in one] + [(2, e) for e in two])[:most]}
+    out = H.expand(start, edges, most=most)
+    assert {(r["query_id"], r["edge_id"], r["hop"]) for r in out.collect()} == want
+    assert "<= 9)" in out._jdf.queryExecution().optimizedPlan().toString()
