@@ -97,3 +97,21 @@ def test_gate_grid(spark):
     for r in got:
         for i, s in enumerate(scopes):
             assert r[f"g{i}"] == allows(s, r.asDict()), (r, s)
+
+
+def test_nearest_vectors_in_parts_of_the_queries(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import retrieval as R
+
+    v = np.random.default_rng(1).integers(-2, 3, (40, 4)).astype(float)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(40)[::-1].copy()), pa.array(v.tolist(), pa.list_(pa.float64()))], names=["vec_id", "v"])
+    found = {}
+    for cells in (1 << 20, 40 * 3, 1):
+        monkeypatch.setattr(R, "MOST_CELLS", cells)
+        for kind in ("cosine", "dot", "euclid", "manhattan"):
+            out = list(R._best_of_block(v[:7], np.arange(7), 5, kind)([batch]))
+            assert len(out) == {1 << 20: 1, 120: 3, 1: 7}[cells]
+            rows = [tuple(r.values()) for r in pa.Table.from_batches(out).to_pylist()]
+            assert found.setdefault(kind, rows) == rows
