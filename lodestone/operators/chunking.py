@@ -5,17 +5,20 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.batches import AT_ONCE, slices
+
 #: Separators from coarse to fine.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 #: Characters a token stands for, room left beside them, and how much longer than allowed a chunk may be before it is cut
 #: anew between sentences.
 PER_TOKEN, ROOM, OVERLONG = 1.6, 1.05, 1.2
 _SENTENCE = re.compile(r"(?<=[。！？；.!?;])\s*|(?<=\n)\s*")
+_CHUNK = [("chunk_index", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("section_path", pa.list_(pa.string())), *((n, pa.int32()) for n in ("char_start", "char_end", "line_start", "line_end", "page"))]
 _HEADING, _FENCE = re.compile(r"^(#{1,6})\s+(.*\S)\s*$"), re.compile(r"^\s*(```|~~~)")
 
 
@@ -210,18 +213,20 @@ def chunk_documents(docs: DataFrame, least: int = 200, most: int = 1000, overlap
     names a column of places where pages begin."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, text, at in zip(pdf[key], pdf["text"], pdf["__breaks"], strict=True):
-                for i, c in enumerate(chunks(text or "", least, most, overlap, () if at is None else [int(b) for b in at], token_aware)):
+        for batch in slices(batches):
+            of, rows = [], []
+            for n, (text, at) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for i, c in enumerate(chunks(text or "", least, most, overlap, at or (), token_aware)):
                     a, b = c["char_start"], c["char_end"]
                     lines = (text.count("\n", 0, a) + 1, text.count("\n", 0, b) + 1) if a >= 0 else (None, None)
-                    rows.append((k, i, c["text"], c["kind"], c["section_path"], a, b, *lines, c["page"]))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text", "kind", "section_path", "char_start", "char_end", "line_start", "line_end", "page"]).astype({"line_start": "Int32", "line_end": "Int32"})
+                    of.append(n)
+                    rows.append((i, c["text"], c["kind"], c["section_path"], a, b, *lines, c["page"]))
+            columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_CHUNK)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], names=[key, *(name for name, _ in _CHUNK)])
 
     kind = dict(docs.dtypes)[key]
     places = F.col(breaks).cast("array<int>") if breaks else F.lit(None).cast("array<int>")
-    return docs.select(key, "text", places.alias("__breaks")).mapInPandas(run, f"{key} {kind}, chunk_index int, text string, kind string, section_path array<string>, char_start int, char_end int, line_start int, line_end int, page int")
+    return docs.select(key, "text", places.alias("__breaks")).mapInArrow(run, f"{key} {kind}, chunk_index int, text string, kind string, section_path array<string>, char_start int, char_end int, line_start int, line_end int, page int")
 
 
 def image_chunks(images: DataFrame, chunked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -244,28 +249,57 @@ def windows(docs: DataFrame, most: int = 1000, overlap: int = 100, multiple: flo
     return rows.select(key, "window", start.alias("char_start"), F.least(start + size, F.col("n")).alias("char_end"), F.substr("text", start + 1, F.lit(size)).alias("text"))
 
 
+def _parents_of(key, chunked: list[tuple], least: int, most: int) -> list[tuple]:
+    """The rows of `parents` of one document's chunks (chunk_index, section path, text), which are in order."""
+    groups: list[list] = []
+    size = 0
+    for r in chunked:
+        same = bool(groups) and groups[-1][0][1][:1] == r[1][:1]
+        if groups and size + len(r[2]) <= most and (same or size < least):
+            groups[-1].append(r)
+            size += len(r[2])
+        else:
+            groups.append([r])
+            size = len(r[2])
+    rows = [(key, f"{key}:p{i}", "parent", i, list(g[0][1]), [x[0] for x in g], "\n\n".join(x[2] for x in g)) for i, g in enumerate(groups)]
+    sections: dict[tuple, list] = {}
+    for row in rows:
+        sections.setdefault(tuple(row[4][:1]), []).append(row)
+    for i, (path, held) in enumerate(x for x in sections.items() if x[0] and len(x[1]) > 1):
+        rows.append((key, f"{key}:s{i}", "section", i, list(path), [c for r in held for c in r[5]], "\n\n".join(r[6] for r in held)))
+    return rows
+
+
 def parents(chunked: DataFrame, least: int = 1200, most: int = 5000, key: str = "doc_id") -> DataFrame:
     """key, parent_id, level, idx, section_path, child_indexes, text: a document's chunks gathered by section up to `most`
-    characters, short groups joined with the one before; sections of two parents or more get a row of their own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_index")
-        groups: list[list] = []
-        for r in pdf.itertuples(index=False):
-            top = list(r.section_path[:1])
-            size = sum(len(x.text) for x in groups[-1]) if groups else 0
-            same = bool(groups) and list(groups[-1][0].section_path[:1]) == top
-            if groups and size + len(r.text) <= most and (same or size < least):
-                groups[-1].append(r)
-            else:
-                groups.append([r])
-        rows = [(pdf[key].iloc[0], f"{pdf[key].iloc[0]}:p{i}", "parent", i, list(g[0].section_path), [int(x.chunk_index) for x in g], "\n\n".join(x.text for x in g)) for i, g in enumerate(groups)]
-        sections: dict[tuple, list] = {}
-        for row in rows:
-            sections.setdefault(tuple(row[4][:1]), []).append(row)
-        for i, (path, held) in enumerate(x for x in sections.items() if x[0] and len(x[1]) > 1):
-            rows.append((held[0][0], f"{held[0][0]}:s{i}", "section", i, list(path), [c for r in held for c in r[5]], "\n\n".join(r[6] for r in held)))
-        return pd.DataFrame(rows, columns=[key, "parent_id", "level", "idx", "section_path", "child_indexes", "text"])
+    characters, short groups joined with the one before; sections of two parents or more get a row of their own.
+
+    Documents are dealt whole and sorted, and a task passes over its chunks once, holding those of one document."""
+
+    def run(batches):
+        out, chars, held, kind = [], 0, [], pa.null()
+        for batch in slices(batches, 3):
+            kind = batch.schema.field(0).type
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    out += _parents_of(held[0][0], [r[1:] for r in held], least, most)
+                    held = []
+                held.append(row)
+                chars += len(row[3])
+            if chars >= AT_ONCE:
+                yield _parent_batch(key, kind, out)
+                out, chars = [], 0
+        if held:
+            out += _parents_of(held[0][0], [r[1:] for r in held], least, most)
+        if out:
+            yield _parent_batch(key, kind, out)
 
     kind = dict(chunked.dtypes)[key]
-    return chunked.groupBy(key).applyInPandas(run, f"{key} {kind}, parent_id string, level string, idx int, section_path array<string>, child_indexes array<int>, text string")
+    dealt = chunked.select(key, "chunk_index", "section_path", "text").repartition(key).sortWithinPartitions(key, "chunk_index")
+    return dealt.mapInArrow(run, f"{key} {kind}, parent_id string, level string, idx int, section_path array<string>, child_indexes array<int>, text string")
+
+
+def _parent_batch(key: str, kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [kind, pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.string()]
+    names = [key, "parent_id", "level", "idx", "section_path", "child_indexes", "text"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
