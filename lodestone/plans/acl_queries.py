@@ -42,9 +42,13 @@ SCOPES = {
 }
 
 
+def with_objects(docs: DataFrame) -> DataFrame:
+    """docs with the columns of OBJECTS."""
+    return docs.selectExpr("*", *[f"{e.replace('LIST(', 'array(')} AS {c}" for c, e in OBJECTS.items()])
+
+
 def objects(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").select("doc_id")
-    return docs.selectExpr("doc_id", *[f"{e.replace('LIST(', 'array(')} AS {c}" for c, e in OBJECTS.items()])
+    return with_objects(load(spark, sf, "documents").select("doc_id"))
 
 
 def _list(values) -> str:

@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import metadata as M
 from ..operators import retrieval as R
 from ..operators.term_index import TermIndex
+from .common import settle
 
 #: Kinds of queries in the order they are taken, the score below which no vector hit counts and that keyword hits enter with, the
 #: most candidates that are reranked, and the share of a result that is drawn beyond it.
@@ -96,8 +97,9 @@ class Corpus:
         fused = legs.groupBy("query_id", F.col("doc_id").alias("key")).agg(
             F.coalesce(F.max("score"), F.lit(max(FLOOR, 0.30))).alias("score"), F.min("kw_rank").alias("kw_rank"), F.round(F.sum(1 / (R.RRF_K + F.col("rank"))), 9).alias("rrf"),
         ).withColumn("is_graph", F.lit(False)).withColumn("is_figure", F.lit(False))
-        hits = R.survivors(fused, k, FLOOR, gap, CANDIDATES).select("query_id", F.col("key").alias("doc_id"), F.col("score").alias("prior"))
-        hits = hits.join(self.docs.select("doc_id", "text", "parent_id", *EVIDENCE), "doc_id")
+        # written, at most CANDIDATES rows a query: so Spark knows how few they are and brings them to the documents, whose texts are not dealt
+        hits = settle(R.survivors(fused, k, FLOOR, gap, CANDIDATES).select("query_id", F.col("key").alias("doc_id"), F.col("score").alias("prior")))
+        hits = settle(hits.join(self.docs.select("doc_id", "text", "parent_id", *EVIDENCE), "doc_id"))
         asked = R.heuristic_rerank(hits.select("query_id", "doc_id", "text", F.col("prior").alias("score")).join(sets.where("kind <> 'hyde'").select("query_id", "query"), "query_id"))
         best = asked.groupBy("query_id", "doc_id").agg(F.round(F.max(_sound(F.col("rerank"))), 9).alias("score"))
         hits = R.ranked(hits.join(best, ["query_id", "doc_id"]), ["query_id"], [F.desc("score"), F.col("doc_id")], min(k + k // HEADROOM, max(k, CANDIDATES)))
