@@ -45,7 +45,7 @@ def vocabulary(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: i
 def _rows(words: DataFrame, windows: Column | int, other: bool) -> DataFrame:
     """words (word, n, size, d) with a row for each window: key, of what stands outside, and `at` and `of`, the window's number and
     how many there are. `size` is the length of the word that gives the chunks, d how much longer this one is."""
-    w = words.withColumn("low", F.expr("cast(at * size div of AS int)")).withColumn("high", F.expr("cast((at + 1) * size div of AS int)")).where("low < high")
+    w = words.withColumn("low", F.expr("cast(bigint(at) * size div of AS int)")).withColumn("high", F.expr("cast((bigint(at) + 1) * size div of AS int)")).where("low < high")
     return w.withColumn("key", F.xxhash64("size", "low", "high", F.expr("substr(word, 1, low)"), F.expr("substr(word, high + d + 1)")))
 
 
@@ -71,13 +71,12 @@ def near_pairs(words: DataFrame) -> DataFrame:
         pairs = cold.select("key", F.col("word").alias("a")).join(grams.select("key", F.col("word").alias("b"), "n"), "key")
         pairs = settle(pairs.where("a <> b AND levenshtein(a, b, 1) = 1").select("a", "b", "n").distinct(), "near-words")
         out = pairs if out is None else out.unionByName(pairs)
-        release(*spent)
+        if some:
+            chunks = settle(_halved(chunks.join(hot, "key", "left_semi")), "chunks")
+            grams = settle(_halved(grams.join(hot, "key", "left_semi")), "grams")
+        release(hot, *spent)  # not before what is halved has been read
         if not some:
-            release(hot)
             return out
-        chunks = settle(_halved(chunks.join(hot, "key", "left_semi")), "chunks")
-        grams = settle(_halved(grams.join(hot, "key", "left_semi")), "grams")
-        release(hot)
         spent = [chunks, grams]
 
 

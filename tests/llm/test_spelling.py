@@ -80,6 +80,20 @@ def test_a_third_of_all_words_share_a_chunk(spark, monkeypatch):
     assert got == want
 
 
+def test_windows_are_halved_again_and_again(spark, monkeypatch):
+    """Words that differ in one window of eight letters need three rounds of halving; each reads what the round before it wrote."""
+    monkeypatch.setattr(spelling, "TOGETHER", 2)
+    words = ["a" * i + x + "a" * (31 - i) for i in range(8) for x in "bcd"]
+    frame = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
+    got = {(r["a"], r["b"]) for r in near_pairs(frame).select("a", "b").collect()}
+    assert got == {(a, b) for a in words for b in words if one_edit(a, b)} and len(got) == 48
+
+
+def test_windows_of_very_long_words(spark):
+    rows = spark.createDataFrame([("a" * 50_000, 3, 50_000, 0, 49_999, 50_000)], "word string, n long, size int, d int, at int, of int")
+    assert [(r["low"], r["high"]) for r in spelling._rows(rows, 0, False).collect()] == [(49_999, 50_000)]
+
+
 def test_chains_of_forms(spark):
     chain = [(f"w{i}", f"w{i + 1}") for i in range(37)] + [("a", "w3"), ("b", "c")]
     got = {r["word"]: r["root"] for r in roots(spark.createDataFrame(chain, "word string, form string")).collect()}
