@@ -51,6 +51,27 @@ def test_against_brute_force(spark, monkeypatch, dim, per, part):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("parts", [2, 5, 6, 19])
+def test_each_pair_of_parts_meets_once_in_turns_of_two_copies(parts):
+    rounds = embeddings.turns(parts, 10**7)
+    assert all(len(offsets) <= 2 for offsets in rounds)
+    pairs = [(min(a, b), max(a, b), a) for offsets in rounds for o in offsets for a in range(parts) for b in [(a + o) % parts]]
+    assert sorted(pairs) == sorted((low, high, a) for low in range(parts) for high in range(low, parts) for a in {low, high})
+
+
+def test_turns_of_two_copies_find_all(spark, monkeypatch):
+    for name, value in (("PER_PIVOT", 25), ("PART", 30), ("DEALT", 1), ("TILE", (7, 9)), ("CANDIDATES", 16)):
+        monkeypatch.setattr(embeddings, name, value)
+    written, settle = [], embeddings.settle
+    monkeypatch.setattr(embeddings, "settle", lambda df, name: written.append((name, settle(df, name))) or written[-1][1])
+    dealt, deal = [], embeddings._dealt
+    monkeypatch.setattr(embeddings, "_dealt", lambda *a: dealt.append(deal(*a).count()) or deal(*a))
+    rows = list(enumerate(vectors(16, 60, 8)))
+    got = near_vectors(spark.createDataFrame([(a, b, "s", 1) for a, b in rows], SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert max(dealt) <= 2 * len(rows) and len([n for n, _ in written if n == "vector-links"]) == len(dealt) > 2
+
+
 def test_pairs_at_a_block_limit():
     rng, dim, n = np.random.default_rng(4), 64, 200
     q, (a, b) = rotation(dim), cuts(dim)[0]
